@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import langid, mixing, packing, simhash_mih
+from loomspark.llm import chat, langid, mixing, packing, paragraph_dedup, quality, simhash_mih, url_reputation
 from loomspark.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.concat_ws(",", "languages").alias("languages"))
 
 
+def op4_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes: the labels whose id is the page's; bad is low quality or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    got = url_reputation.judge(pages, labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    return got.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     got = mixing.mix(docs)
@@ -29,15 +38,35 @@ def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_mih.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digest(chat.format_chats(turns.unionByName(probe)))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_paragraph_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_mixture": op3_language_mixture,
+    "op4_host_reputation": op4_host_reputation,
     "op5_systematic_mix": op5_systematic_mix,
     "op6_simhash_multi_index": op6_simhash_multi_index,
+    "op7_chat_blocks": op7_chat_blocks,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_paragraph_banding": op9_paragraph_banding,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: Words of DuckDB's regular expressions: white space is given as in the contract.
@@ -63,4 +92,78 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (size * least(floor((k + 1) * rate + u) - floor(k * rate + u), 3))::BIGINT AS taken FROM r
 """
 
-ORACLES: dict[str, str] = {"op5_systematic_mix": OP5_SQL}
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), o AS (
+  SELECT p.host, CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 1 ELSE 0 END AS bad FROM p JOIN labels l ON p.page_id = l.doc_id WHERE l.quality IS NOT NULL OR l.toxic IS NOT NULL
+), h0 AS (
+  SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS k, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '\.$', '') AS name FROM o GROUP BY host
+), h1 AS (
+  SELECT *, string_split(name, '.') AS q, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two FROM h0
+), h AS (
+  SELECT host, n, k, CASE WHEN two IN (LONG) THEN array_to_string(list_slice(q, -3, -1), '.') ELSE two END AS domain, CASE WHEN two IN (LONG) THEN two ELSE q[-1] END AS suffix FROM h1
+), d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY ALL
+), s AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY ALL
+), t AS (SELECT (sum(sk) + 0.5::DOUBLE) / (sum(sn) + 1.0::DOUBLE) AS top FROM s
+), ms AS (SELECT 1 / least(greatest(sum(pow(sk - sn * top, 2.0::DOUBLE) - sn * top * (1 - top)) / sum(sn * (sn - 1) * top * (1 - top)), 0.001::DOUBLE), 0.999::DOUBLE) - 1 AS m FROM s, t
+), s2 AS (SELECT suffix, (sk + m * top) / (sn + m) AS smean FROM s, t, ms
+), d2 AS (SELECT d.*, smean FROM d JOIN s2 USING (suffix)
+), md AS (SELECT 1 / least(greatest(sum(pow(dk - dn * smean, 2.0::DOUBLE) - dn * smean * (1 - smean)) / sum(dn * (dn - 1) * smean * (1 - smean)), 0.001::DOUBLE), 0.999::DOUBLE) - 1 AS m FROM d2
+), d3 AS (SELECT domain, suffix, (dk + m * smean) / (dn + m) AS dmean FROM d2, md
+), h2 AS (SELECT h.*, dmean FROM h JOIN d3 USING (domain, suffix)
+), mh AS (SELECT 1 / least(greatest(sum(pow(k - n * dmean, 2.0::DOUBLE) - n * dmean * (1 - dmean)) / sum(n * (n - 1) * dmean * (1 - dmean)), 0.001::DOUBLE), 0.999::DOUBLE) - 1 AS m FROM h2
+), r AS (SELECT host, k + m * dmean AS a, n - k + m * (1 - dmean) AS b FROM h2, mh
+), low AS (SELECT host, a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM r
+), f AS (
+  SELECT page_id, p.host, path, lower, CASE
+    WHEN (p.host = 'example.com' OR suffix(p.host, '.example.com')) AND prefix(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (p.host = 'example.net' OR suffix(p.host, '.example.net')) AND prefix(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (p.host = 'com' OR suffix(p.host, '.com')) AND prefix(path, '/en/') THEN 'com/en/'
+    WHEN (p.host = 'net' OR suffix(p.host, '.net')) AND prefix(path, '/de/') THEN 'net/de/'
+    WHEN (p.host = 'org' OR suffix(p.host, '.org')) AND prefix(path, '/es/') THEN 'org/es/' END AS rule
+  FROM p LEFT JOIN low ON p.host = low.host
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN lower > 0.2::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM f
+""".replace("LONG", ", ".join(f"'{x}'" for x in url_reputation.LONG_SUFFIXES))
+
+OP7_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '<', '\l'), '#', '\h') AS et, replace(replace(replace(replace(role, '\', '\\'), '<', '\l'), '#', '\h'), ':', '\c') AS er,
+         row_number() OVER w AS i, lag(role) OVER w AS before FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text))
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(et) + 7 + CASE WHEN before IS NULL OR before <> role THEN length(er) + 7 ELSE 0 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), g AS (
+  SELECT r, unnest(generate_series(1, len(w) - 2)) AS i, w FROM d WHERE len(w) >= 3
+), c AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS times FROM g
+), u AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM c WHERE times > 1) GROUP BY r
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(u.n, 0)::BIGINT AS n_repeat_words, len(l)::DOUBLE AS lines,
+         len(list_filter(l, lambda x: suffix(x, '...')))::DOUBLE AS dots, len(list_filter(w, lambda x: lower(x) IN (STOPS)))::DOUBLE AS stops,
+         length(regexp_replace(t, '[^\p{Lu}]+', '', 'g'))::DOUBLE AS uppers
+  FROM d LEFT JOIN u USING (r)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / n_words >= 2.0::DOUBLE AND word_chars / n_words <= 12.0::DOUBLE AND n_symbols / word_chars <= 0.1::DOUBLE AND stops / n_words >= 0.06::DOUBLE
+  AND n_dup_lines / lines <= 0.5::DOUBLE AND dots / lines <= 0.3::DOUBLE AND uppers / word_chars <= 0.4::DOUBLE AS kept FROM b
+""".replace("STOPS", ", ".join(f"'{x}'" for x in sorted(set(quality.STOP_WORDS))))
+
+ORACLES: dict[str, str] = {"op4_host_reputation": OP4_SQL, "op5_systematic_mix": OP5_SQL, "op7_chat_blocks": OP7_SQL, "op10_quality_rules": OP10_SQL}
