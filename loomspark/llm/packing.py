@@ -18,12 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import materialize, ready, text_buffers
+from loomspark.llm.common import LOWER, U64, Rolling, materialize, ready, spread, steps, text_buffers, words
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker keeps; beyond it the memory starts anew.
-CACHE_WORDS = 1_000_000
+#: Units whose ids a worker keeps (about 100 MB); beyond it the table starts anew.
+CACHE_WORDS = 1_500_000
+STEP = 1 << 19
 
 
 class TightestFit:
@@ -102,72 +103,155 @@ def plan_bins(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     return rows
 
 
+class UnitTable:
+    """Open-addressed table from 64-bit hashes to runs of ids, looked up and filled by whole arrays."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.place, self.used = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int32), 0
+        self.pool, self.pool_used = np.zeros(1 << 18, np.uint32), 0
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none. Hash 0 stands for itself plus one."""
+        h = np.where(h == 0, U64(1), h)
+        mask = U64(len(self.keys) - 1)
+        slot = (h & mask).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where(got == h, self.place[slot], -1).astype(np.int64)
+        at = np.flatnonzero((got != h) & (got != 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & int(mask)
+            got = self.keys[slot[at]]
+            hit = got == h[at]
+            out[at[hit]] = self.place[slot[at[hit]]]
+            at = at[~hit & (got != 0)]
+        return out
+
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+        mask = U64(len(self.keys) - 1)
+        slot = (h & mask).astype(np.int64)
+        at = np.arange(len(h))
+        while len(at):
+            free = self.keys[slot[at]] == 0
+            _, first = np.unique(slot[at[free]], return_index=True)
+            won = at[free][first]
+            self.keys[slot[won]], self.place[slot[won]] = h[won], entry[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            at = at[rest[at]]
+            slot[at] = np.where(self.keys[slot[at]] != 0, (slot[at] + 1) & int(mask), slot[at])
+
+    def add(self, h: np.ndarray, runs: list[bytes]) -> None:
+        """Adds distinct, absent hashes with their ids, as little-endian unsigned 32-bit."""
+        h = np.where(h == 0, U64(1), h)
+        n = np.array([len(r) // 4 for r in runs], np.int64)
+        ids = np.frombuffer(b"".join(runs), "<u4")
+        while self.pool_used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.used + len(h) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        entry = np.arange(self.used, self.used + len(h))
+        self.pool[self.pool_used : self.pool_used + len(ids)] = ids
+        self.begin[entry], self.count[entry] = self.pool_used + np.cumsum(n) - n, n
+        self.used, self.pool_used = self.used + len(h), self.pool_used + len(ids)
+        if 4 * self.used > len(self.keys):
+            have = self.keys != 0
+            old = self.keys[have], self.place[have]
+            self.keys, self.place = np.zeros(4 * len(self.keys), U64), np.zeros(4 * len(self.place), np.int32)
+            self._put(*old)
+        self._put(h, entry)
+
+
 class WordTokenizer:
-    """Ids of whole texts through a memory of the ids of white-space separated words.
+    """Ids of whole texts through a table of the ids of their units.
 
-    Valid for tokenizers that never join characters across ASCII white space, split letter runs from runs of other
-    signs, and fold case. Words are letters and a tail of signs where possible; their letters are encoded many at a
-    time and told apart by the encoding's word numbers. Texts with a special token's beginning, `<|`, go to the
-    tokenizer whole, as do words of other shapes one by one."""
+    Units are what the tokenizer treats apart: white-space separated words, and of words that are Latin letters with a
+    tail of signs, the letters and the tail. Valid for tokenizers that never join characters across ASCII white space,
+    split letter runs from runs of other signs, and fold case. Unknown letter runs are encoded many at a time and told
+    apart by the encoding's word numbers; other unknown units one by one; texts with a special token's beginning,
+    `<|`, whole. Units are known by a 64-bit hash."""
 
-    TAIL = ".,;:!?%$&*#|()[]{}\"/+=_~^@"
+    TAIL = b".,;:!?%$&*#|()[]{}\"/+=_~^@"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.table = UnitTable()
+        self.letter, self.tail = np.zeros(256, bool), np.zeros(256, bool)
+        self.letter[[*range(97, 123), 0xC3, *(x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7))]] = True
+        self.tail[list(self.TAIL)] = True
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self._ids(text), "<u4").tobytes()
-
-    def _learn_letters(self, cores: list[str]) -> None:
-        for at in range(0, len(cores), 4096):
-            some = cores[at : at + 4096]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            of = np.array(got.word_ids, np.int64)
-            begin = np.flatnonzero(np.diff(of, prepend=-1))
-            if len(begin) != len(some):  # a letter that normalizes to more than letters
-                self.parts.update((w, self._raw(w)) for w in some)
-                continue
-            raw, cut = np.array(got.ids, "<u4").tobytes(), [*(begin * 4).tolist(), 4 * len(of)]
-            self.parts.update((w, raw[i:j]) for w, i, j in zip(some, cut, cut[1:]))
-
-    def learn(self, missing: list[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.known.clear()
-            self.parts = {"": b""}
-        split, cores, parts = [], set(), self.parts
-        for w in missing:
-            t = w.decode()
-            core = t.rstrip(self.TAIL)
-            if core and not core.isalpha():
-                self.known[w] = self._raw(t)
-                continue
-            tail = t[len(core) :]
-            split.append((w, core, tail))
-            if core not in parts:
-                cores.add(core)
-            if tail not in parts:
-                parts[tail] = self._raw(tail)
-        self._learn_letters(list(cores))
-        self.known.update((w, parts[core] + parts[tail]) for w, core, tail in split)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        lists = [None if b"<|" in t else t.lower().split() for t in texts]
-        known = self.known
-        missing = list({w for ws in lists if ws for w in ws if w not in known})
-        if missing:
-            self.learn(missing)
-            known = self.known
-            if any(w not in known for ws in lists if ws for w in ws):  # the memory began anew
-                self.learn(list({w for ws in lists if ws for w in ws if w not in known}))
-        return [np.array(self._ids(t.decode()), "<u4").tobytes() if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, lists)]
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
+        of = np.array(got.word_ids, np.int64)
+        begin = np.flatnonzero(np.diff(of, prepend=-1))
+        if len(begin) != len(runs):  # a letter that normalizes to more than letters
+            return [self._raw(w) for w in runs]
+        raw, cut = np.array(got.ids, "<u4").tobytes(), [*(begin * 4).tolist(), 4 * len(of)]
+        return [raw[i:j] for i, j in zip(cut, cut[1:])]
+
+    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, plain: np.ndarray) -> None:
+        if self.table.used > CACHE_WORDS:
+            self.table.clear()
+        texts = [raw[i:j].decode() for i, j in zip(start.tolist(), end.tolist())]
+        for at in np.array_split(np.flatnonzero(plain), max(1, int(plain.sum()) // 4096)):
+            if len(at):
+                self.table.add(h[at], self._letters([texts[i] for i in at.tolist()]))
+        at = np.flatnonzero(~plain)
+        if len(at):
+            self.table.add(h[at], [self._raw(texts[i]) for i in at.tolist()])
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts in one buffer."""
+        original, data = data, LOWER[data]
+        s, e, first = words(data, off)
+        n = len(s)
+        if n:
+            others = np.maximum.accumulate(np.where(self.tail[data], -1, np.arange(len(data))))
+            mid = np.maximum(s, others[e - 1] + 1)
+            letters = np.concatenate([[0], np.cumsum(self.letter[data])])
+            plain = letters[mid] - letters[s] == mid - s
+            mid = np.where(plain, mid, e)
+            # a core and a tail for each word; either may be empty
+            us, ue = np.stack([s, mid], 1).ravel(), np.stack([mid, e], 1).ravel()
+            kind = np.stack([plain, np.zeros(n, bool)], 1).ravel()
+            real = ue > us
+            h = Rolling(data).of(us[real], ue[real])
+            entry = self.table.find(h)
+            miss = np.flatnonzero(entry < 0)
+            if len(miss):
+                distinct, one = np.unique(h[miss], return_index=True)
+                one = miss[one]
+                before = self.table.used
+                self._learn(data.tobytes(), us[real][one], ue[real][one], distinct, kind[real][one])
+                entry = self.table.find(h)
+                if self.table.used < before and (entry < 0).any():  # the table began anew
+                    distinct, one = np.unique(h[entry < 0], return_index=True)
+                    one = np.flatnonzero(entry < 0)[one]
+                    self._learn(data.tobytes(), us[real][one], ue[real][one], distinct, kind[real][one])
+                    entry = self.table.find(h)
+            count = self.table.count[entry]
+            ids = self.table.pool[spread(self.table.begin[entry], count)]
+            per = np.zeros(2 * n, np.int64)
+            per[real] = count
+            cut = np.concatenate([[0], np.cumsum(per)])[2 * first]
+        else:
+            ids, cut = np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        docs = np.unique(np.searchsorted(off, special, side="right") - 1)
+        if len(docs):
+            parts = [ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            for d in docs.tolist():
+                parts[d] = np.frombuffer(self._raw(original[off[d] : off[d + 1]].tobytes().decode()), "<u4")
+            ids, cut = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, cut
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -184,30 +268,34 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     local is the piece's rank among those of its length in its partition `part`; row tells repeated rows apart."""
     ready(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.uint32(end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path or tokenizer_path()
         if where not in _TOKENIZERS:
             _TOKENIZERS[where] = WordTokenizer(where)
         tok, seen, part, row = _TOKENIZERS[where], np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                data, off, _ = text_buffers(b.column("text"))
-                raw = data.tobytes()
-                ids = tok.encode([raw[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist())])
-                out = []
-                for k, x in enumerate(ids):
-                    x += end
-                    for p, i in enumerate(range(0, len(x), 4 * capacity)):
-                        y = x[i : i + 4 * capacity]
-                        n = len(y) // 4
-                        out.append((k, p, i // 4, n, zlib.crc32(y), seen[n]))
-                        seen[n] += 1
-                k, p, s, n, crc, loc = (np.array(c) for c in zip(*out))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(k)), pa.array(row + k), pa.array(p.astype(np.int32)), pa.array(s), pa.array(n), pa.array(crc.astype(np.int64)), pa.array(np.full(len(k), part, np.int32)), pa.array(loc)], ["doc_id", "row", "piece", "start", "length", "ids_crc32", "part", "local"])
-                row += b.num_rows
+        for b in batches:
+            data, off, _ = text_buffers(b.column("text"))
+            for i, j in steps(off, STEP):
+                ids, cut = tok.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                ids = np.insert(ids, cut[1:], end).astype("<u4")
+                cut = cut + np.arange(len(cut))
+                size = np.diff(cut)
+                n_pieces = -(-size // capacity)
+                k = np.repeat(np.arange(j - i), n_pieces)
+                p = spread(np.zeros(j - i, np.int64), n_pieces)
+                start = p * capacity
+                length = np.minimum(size[k] - start, capacity)
+                first = cut[k] + start
+                crc = [zlib.crc32(ids[x:y]) for x, y in zip(first.tolist(), (first + length).tolist())]
+                order = np.argsort(length, kind="stable")
+                run = np.flatnonzero(np.diff(length[order], prepend=-1))
+                local = np.empty(len(k), np.int64)
+                local[order] = seen[length[order]] + np.arange(len(k)) - np.repeat(run, np.diff(np.append(run, len(k))))
+                seen += np.bincount(length, minlength=capacity + 1)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(i + k)), pa.array(row + i + k), pa.array(p.astype(np.int32)), pa.array(start), pa.array(length), pa.array(np.array(crc, np.int64)), pa.array(np.full(len(k), part, np.int32)), pa.array(local)], ["doc_id", "row", "piece", "start", "length", "ids_crc32", "part", "local"])
+            row += b.num_rows
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long, part int, local long")

@@ -171,7 +171,8 @@ def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
     prints = materialize(fingerprints(docs), "simhash")
     classes = near_classes(prints, radius)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(least, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # written first, so that both sides of the last join are plain exchanges and a hot fingerprint's rows can be split
+    return prints.join(materialize(least, "classes"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
