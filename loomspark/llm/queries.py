@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import chat, langid, mixing, packing, paragraph_dedup, quality, simhash_mih, suffix_dedup, url_reputation
+from loomspark.llm import chat, langid, media, mixing, packing, paragraph_dedup, quality, simhash_mih, suffix_dedup, url_reputation
 from loomspark.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.read_digests(stored).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = langid.held_out("doc_id")
@@ -65,6 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_runs": op1_suffix_runs,
+    "op2_lossless_webp": op2_lossless_webp,
     "op3_language_mixture": op3_language_mixture,
     "op4_host_reputation": op4_host_reputation,
     "op5_systematic_mix": op5_systematic_mix,
