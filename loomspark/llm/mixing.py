@@ -22,7 +22,8 @@ def source_targets(sizes: DataFrame, cap: float = CAP, cycle: int = CYCLE) -> Da
     Sources by code point, null last, weigh 1, 2, ..., cycle, 1, ...; shares of the total size by weight, but at most
     cap times the source's own size; the excess goes to the others by weight until none is above its cap. This is
     the water level at which sum(min(cap_i, level * weight_i)) is the total: sources in order of cap / weight are
-    capped while the level that the rest would then get is above theirs."""
+    capped while the level that the rest would then get is above theirs. Past the first one that stays below its cap,
+    levels only fall, so the greatest level of a free source is the water level."""
     one = F.lit(1)
     by_name = Window.partitionBy(one).orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
     s = sizes.withColumn("w", (F.pmod(F.row_number().over(by_name) - 1, F.lit(cycle)) + 1).cast("double")).withColumn("most", F.lit(float(cap)) * F.col("source_size"))
@@ -32,7 +33,7 @@ def source_targets(sizes: DataFrame, cap: float = CAP, cycle: int = CYCLE) -> Da
         s.withColumn("total", F.sum("source_size").over(Window.partitionBy(one)))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(rest))
         .withColumn("free", F.col("level") * F.col("w") < F.col("most"))
-        .withColumn("water", F.min(F.when(F.col("free"), F.col("level"))).over(Window.partitionBy(one)))
+        .withColumn("water", F.max(F.when(F.col("free"), F.col("level"))).over(Window.partitionBy(one)))
     )
     return s.select("source", "source_size", F.least("most", F.coalesce(F.col("water") * F.col("w"), F.col("most"))).alias("target"))
 

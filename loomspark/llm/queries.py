@@ -94,7 +94,7 @@ WITH d AS (
   SELECT *, (total::DOUBLE - coalesce(sum(most) OVER (ORDER BY most / w, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(w) OVER (ORDER BY most / w, source IS NULL, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), t AS (
-  SELECT source, source_size, least(most, coalesce(min(CASE WHEN level * w < most THEN level END) OVER () * w, most)) AS target,
+  SELECT source, source_size, least(most, coalesce(max(CASE WHEN level * w < most THEN level END) OVER () * w, most)) AS target,
          ('0x' || substr(md5('0:' || coalesce(source, '\N')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u FROM l
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
