@@ -1 +1,3 @@
-"""Context selection, code-graph analytics and corpus preparation on Spark DataFrames."""
+"""Context selection and code-graph analytics on Spark."""
+
+__version__ = "0.1.0"
