@@ -35,7 +35,9 @@ def debounced(events: DataFrame, gap: str = GAP, late: str = "1 second", keys: l
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     w = F.session_window("ts", gap)
     paths = F.collect_set(F.when(watched(F.col("path")), F.col("path")))
-    got = rows.groupBy(w.alias("w"), *keys).agg(F.sort_array(paths).alias("paths"))
+    # Spark wants a key beside a stream's session window; this one is the same for all rows, but no literal
+    alone = [] if keys else [F.coalesce(F.length("op") * 0, F.lit(0)).alias("_all")]
+    got = rows.groupBy(w.alias("w"), *alone, *keys).agg(F.sort_array(paths).alias("paths"))
     return got.where(F.size("paths") > 0).select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths")
 
 
