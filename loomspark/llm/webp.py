@@ -104,10 +104,12 @@ def _reversed(bits: int) -> np.ndarray:
 class PrefixCode:
     """Canonical code as a table from the next `bits` bits to symbol and length."""
 
-    def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+    NO_BITS = np.zeros(1, np.int64)
+
+    def __init__(self, lengths: np.ndarray | None, only: int = 0):
+        used = np.flatnonzero(lengths) if lengths is not None else [only]
         if len(used) <= 1:
-            self.bits, self.symbol, self.length = 0, np.array(used if len(used) else [0]), np.zeros(1, np.int64)
+            self.bits, self.symbol, self.length = 0, np.array([used[0] if len(used) else 0]), self.NO_BITS
         else:
             self.bits = bits = int(lengths[used].max())
             order = used[np.argsort(lengths[used], kind="stable")]
@@ -171,6 +173,11 @@ def codes(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def write_single(w: BitWriter, symbol: int) -> None:
+    """A prefix code of one symbol, which then takes no bits."""
+    w.put(0b101 | symbol << 3, 11)
+
+
 def write_code(w: BitWriter, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Writes a prefix code for the frequencies; (codes, bits) of each symbol."""
     used = np.flatnonzero(freq)
@@ -190,9 +197,10 @@ def write_code(w: BitWriter, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         freq[0] += 1
     lengths = code_lengths(freq, MAX_BITS)
     tokens: list[tuple[int, int, int]] = []  # (symbol, extra, bits of it)
-    edges = np.flatnonzero(np.diff(lengths, prepend=-1, append=-1))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        v, run = int(lengths[a]), b - a
+    edges = np.flatnonzero(lengths[1:] != lengths[:-1]) + 1
+    edges = [0, *edges.tolist(), len(lengths)]
+    for a, b, v in zip(edges[:-1], edges[1:], lengths[edges[:-1]].tolist()):
+        run = b - a
         while v == 0 and run >= 11:
             n = min(run, 138)
             tokens.append((18, n - 11, 7))
@@ -223,8 +231,10 @@ def read_code(r: BitReader, alphabet: int) -> PrefixCode:
     if r.get(1):
         two = r.get(1)
         first = r.get(1)
-        got = [r.get(8 if first else 1)] + ([r.get(8)] if two else [])
-        lengths[got] = 1
+        symbol = r.get(8 if first else 1)
+        if not two and symbol < alphabet:
+            return PrefixCode(None, symbol)
+        lengths[[symbol, r.get(8)] if two else symbol] = 1
     else:
         small = np.zeros(19, np.int64)
         for s in CODE_LENGTH_ORDER[: 4 + r.get(4)]:
@@ -543,10 +553,11 @@ def _cross(pixels: np.ndarray, tiles: np.ndarray, tile: int, sign: int) -> np.nd
 
 
 def _green_shift(pixels: np.ndarray, sign: int) -> np.ndarray:
-    c = _channels(pixels).copy()
-    c[..., 0] += np.uint8(sign & 255) * c[..., 1]
-    c[..., 2] += np.uint8(sign & 255) * c[..., 1]
-    return c.view(U32).reshape(pixels.shape)
+    """Adds green to red and blue (sign 1) or takes it away (-1), both at once in one word."""
+    two, step = U32(0x00FF00FF), (pixels >> U32(8) & U32(255)) * U32(0x00010001)
+    rest = pixels & two
+    rest = rest + step if sign > 0 else rest + U32(0x01000100) - step
+    return pixels & U32(0xFF00FF00) | rest & two
 
 
 def _bundle_bits(colours: int) -> int:
@@ -741,7 +752,7 @@ def _write_pixels(w: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
         for k in range(len(NEAR), 0, -1):
             codes_of[max(1, NEAR[k - 1][0] + NEAR[k - 1][1] * width)] = k
         dp, dx, db = _prefix_of(np.array([codes_of.get(x, x + len(NEAR)) for x in d.tolist()], np.int64))
-    varies = int(np.bitwise_or.reduce(colour ^ colour[0]))
+    varies = int(np.bitwise_or.reduce(colour ^ colour[0])) if len(colour) else 0
     group = None if which is None else which[at]
     value, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     greens = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
@@ -757,15 +768,12 @@ def _write_pixels(w: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
                 value[on] |= code[c] << size[on]
                 size[on] += bits[c]
             else:
-                one = np.zeros(256, np.int64)
-                one[int(colour[0]) >> shift & 255] = 1
-                write_code(w, one)
-        far = np.zeros(DISTANCE_CODES, np.int64)
-        if len(back):
+                write_single(w, int(colour[0]) >> shift & 255)
+        if not len(back):
+            write_single(w, 0)
+        else:
             mine = np.arange(len(back)) if group is None else np.flatnonzero(group[back] == g)
-            far = np.bincount(dp[mine], minlength=DISTANCE_CODES)
-        code, bits = write_code(w, far)
-        if len(back):
+            code, bits = write_code(w, np.bincount(dp[mine], minlength=DISTANCE_CODES))
             b = back[mine]
             for v, k in ((lx, lb), (code[dp], bits[dp]), (dx, db)):
                 value[b] |= v[mine] << size[b]
@@ -815,7 +823,7 @@ def encode(pixels: np.ndarray, transforms: list[int] | None = None, cache_bits:
         raise ValueError(f"sides must be 1 to {MAX_SIDE}")
     pixels = np.ascontiguousarray(pixels, U32)
     if transforms is None:
-        grey = (_channels(pixels)[..., :3] == _channels(pixels)[..., :1]).all() and (pixels >> U32(24) == pixels.flat[0] >> U32(24)).all()
+        grey = bool(((pixels ^ (pixels & U32(255)) * U32(0x010101)) == pixels.flat[0] & U32(0xFF000000)).all())
         few = len(np.flatnonzero(np.bincount((pixels & U32(255)).ravel()))) <= 16 if grey else len(np.unique(pixels)) <= 16
         transforms = [PALETTE] if few else [SUBTRACT_GREEN] if grey else []
     w = BitWriter()
