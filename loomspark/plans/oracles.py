@@ -181,7 +181,7 @@ O["modularity"] = f"""WITH {GRAPH}, sy AS (SELECT src AS a, dst AS b, confidence
 d AS (SELECT a AS id, sum(w) AS k FROM li GROUP BY a), m AS (SELECT sum(k) AS two FROM d)
 SELECT round((SELECT sum(w - x.k * y.k / two) / max(two) FROM li JOIN d x ON x.id = a JOIN d y ON y.id = b, m WHERE a % 5 = b % 5), 9) AS adjacent,
   round((SELECT sum(w) FROM li WHERE a % 5 = b % 5) / (SELECT two FROM m) - (SELECT sum(s * s) FROM (SELECT sum(k) AS s FROM d GROUP BY id % 5)) / pow((SELECT two FROM m), 2.0::DOUBLE), 9) AS textbook"""
-CODE = """f AS (SELECT p_size, p_partkey AS p, row_number() OVER (PARTITION BY p_size ORDER BY encode('def f' || p_partkey || '(x)')) - 1 AS i FROM part WHERE p_partkey <= 400), m AS (SELECT DISTINCT p_size, 'pkg/m' || p_size || '.py' AS path FROM f)"""
+CODE = """f AS (SELECT p_size, p_partkey AS p, row_number() OVER (PARTITION BY p_size ORDER BY encode('def f' || p_partkey || '(x)')) - 1 AS i FROM part), m AS (SELECT DISTINCT p_size, 'pkg/m' || p_size || '.py' AS path FROM f)"""
 O["build_nodes"] = f"""WITH {CODE}
 SELECT 'file' AS kind, 'm' || p_size || '.py' AS name, path || '::<file>' AS qualified, path, 1 AS start_line, NULL AS signature FROM m
 UNION ALL SELECT 'import', 'import os', path || '::import::import os', path, 1, 'import os' FROM m

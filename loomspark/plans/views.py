@@ -59,7 +59,7 @@ CODE_COLUMNS = [
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, language, content)."""
-    part = table(spark, sf_dir, "part").where("p_partkey <= 400").selectExpr("p_size", "p_partkey", "concat('def f', p_partkey, '(x):\\n    print(\"# x\")\\n    return f', p_partkey + 1, '(x)  # call\\n') as f")
+    part = table(spark, sf_dir, "part").selectExpr("p_size", "p_partkey", "concat('def f', p_partkey, '(x):\\n    print(\"# x\")\\n    return f', p_partkey + 1, '(x)  # call\\n') as f")
     per = part.groupBy("p_size").agg({"f": "collect_list"}).selectExpr("p_size", "array_join(array_sort(`collect_list(f)`), '\\n\\n') as body")
     return per.selectExpr(*CODE_COLUMNS)
 
