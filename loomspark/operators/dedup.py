@@ -33,6 +33,20 @@ def exact_dedup(chunks: DataFrame) -> DataFrame:
     return chunks.join(first.select("_keep"), F.col("pos") == F.col("_keep"), "left_semi")
 
 
+def members(chunks: DataFrame) -> DataFrame:
+    """(pos, exact, first) for every row: the first row of its exact copies, and of the rows with its fingerprint.
+
+    The pair operators link first rows only; with this table the links of all other rows follow. Fingerprint 0 never
+    matches: such a row's first is its exact one."""
+    keys = materialize(chunks.select("pos", F.md5(T.normalize_whitespace(F.col("content"))).alias("_k")), "digests")
+    exact = materialize(keys.groupBy("_k").agg(F.min("pos").alias("exact")), "exact")
+    prints = materialize(simhash(chunks.join(exact.select("exact"), F.col("pos") == F.col("exact"), "left_semi")), "prints")
+    firsts = prints.where("fp <> 0").groupBy("fp").agg(F.min("pos").alias("first"))
+    of = prints.join(firsts, "fp", "left").select(F.col("pos").alias("exact"), F.coalesce("first", "pos").alias("first"))
+    # written first, so that both sides of the last join are plain exchanges and a hot digest's rows can be split
+    return keys.join(materialize(exact.join(of, "exact"), "members"), "_k").select("pos", "exact", "first")
+
+
 def _digest_words(items: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two unsigned 32-bit words of md5 for each distinct item."""
     raw = b"".join(hashlib.md5(x.encode()).digest()[:8] for x in items.to_pylist())

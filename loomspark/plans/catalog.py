@@ -132,6 +132,12 @@ def simhash_pairs(spark, sf):
     return dedup.simhash_pairs(firsts).select("a", "b", F.col("distance").cast("long").alias("distance"), F.round(F.lit(1.0) - F.col("distance") / 64, 6).alias("similarity"))
 
 
+@query
+def dedup_members(spark, sf):
+    """Class membership of every chunk: with it the pairs among first rows give the links of all rows."""
+    return dedup.members(chunks(spark, sf))
+
+
 @query
 def minhash_sig(spark, sf):
     return dedup.minhash(chunks(spark, sf)).select("pos", F.md5(F.array_join(F.transform("sig", lambda x: x.cast("string")), ",")).alias("digest"))

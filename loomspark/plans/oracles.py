@@ -86,6 +86,7 @@ fps AS (SELECT pos, (CASE WHEN max(u) >= 4 THEN sum(CASE WHEN v > 0 THEN 1::HUGE
 O["simhash_fp"] = f"WITH {CHUNKS}, {fingerprints('chunks')} SELECT pos, lower(printf('%016x', coalesce(fp, 0::UBIGINT))) AS fp FROM chunks LEFT JOIN fps USING (pos)"
 PAIRS = f"{EXACT}, {fingerprints('ex')}, f1 AS (SELECT fp, min(pos) AS pos FROM fps WHERE fp <> 0 GROUP BY fp), pairs AS (SELECT x.pos AS a, y.pos AS b, bit_count(xor(x.fp, y.fp))::BIGINT AS distance FROM f1 x JOIN f1 y ON x.pos < y.pos WHERE bit_count(xor(x.fp, y.fp)) <= 3)"
 O["simhash_pairs"] = f"WITH {PAIRS} SELECT a, b, distance, round(1.0::DOUBLE - distance / 64.0::DOUBLE, 6) AS similarity FROM pairs"
+O["dedup_members"] = f"WITH {CHUNKS}, ks AS (SELECT pos, min(pos) OVER (PARTITION BY md5({norm('content')})) AS exact FROM chunks), {fingerprints('chunks')} SELECT ks.pos, exact, CASE WHEN coalesce(fp, 0) = 0 THEN exact ELSE min(ks.pos) OVER (PARTITION BY fp) END AS first FROM ks LEFT JOIN fps USING (pos)"
 SIGS = f"""k AS (SELECT pos, {trimmed('content')} AS k FROM SRC), sh AS (SELECT pos, {SHINGLES} AS s FROM k),
 hh AS (SELECT pos, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h1, greatest(1, ('0x' || substr(md5(s), 9, 8))::BIGINT) AS h2 FROM (SELECT pos, unnest(s) AS s FROM sh)),
 mins AS (SELECT pos, i, min((h1 + i * h2) % 4294967291) AS m FROM hh, range(128) r(i) GROUP BY pos, i),

@@ -32,6 +32,12 @@ def test_simhash_reorder_and_tiny(spark):
     assert ids(dedup.simhash_dedup(chunks(spark, [a, " ".join(reversed(a.split())), "x1 y1", "x1 y2"]))) == [0, 2, 3]
 
 
+def test_members_give_back_the_links_of_all_rows(spark):
+    a = " ".join(f"word{i}" for i in range(30))
+    c = chunks(spark, [a, " ".join(reversed(a.split())), a + "  ", "x1 y1", "x1 y2"])
+    assert sorted(tuple(r) for r in dedup.members(c).collect()) == [(0, 0, 0), (1, 1, 0), (2, 0, 0), (3, 3, 3), (4, 4, 4)]
+
+
 def test_line_jaccard_threshold_is_single_precision(spark):
     base = [f"line {i}" for i in range(24)]
     texts = ["\n".join(base), "\n".join([*base[:-1], "other"]), "\n".join(base[:23] + ["x", "y"])]
