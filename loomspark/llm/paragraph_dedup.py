@@ -4,9 +4,12 @@ Two kinds of units are compared, both cut where the text itself says so:
 
 * paragraphs, the lines of at least MIN_LINE words: banded MinHash over five-word shingles finds candidates, exact
   Jaccard verifies them, connected components cluster them;
-* passages, the stretches between local minima of word-pair hashes inside a line (about ten words): a passage that
-  starts in the middle of a paragraph is cut alike in every document, so equal stretches share a hash. A band of one
-  row is enough for them; only runs of repeated stretches of at least MIN_RUN words are removed.
+* passages: the stretches between local minima of word-pair hashes inside a line (about ten words), and of every WINDOW
+  windows of SEED words, over line ends too, the one of the least hash. Both are chosen by the words alone, so a passage
+  that starts in the middle of a paragraph has the same ones in every document, and one of SEED + WINDOW - 1 = MIN_RUN
+  words has at least one window. Repeated ones are extended word by word, first against the first occurrence, then
+  against the first that shares the words beyond it; only runs of at least MIN_RUN words are removed. REACH words on
+  each side are enough: a match that goes on beyond has a further window.
 
 Of each cluster the occurrence with the least (doc_id, word) stays. Shuffled are hashes, never text; text moves only
 for documents that lose something (plus the false hits of a fixed-size bitmap).
@@ -26,6 +29,8 @@ from loomspark.llm.components import connected_components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.995
 RADIUS, MIN_RUN, MIN_LINE = 5, 20, 20
+SEED, WINDOW = 10, 11
+REACH = WINDOW - 1
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = 24) -> tuple[int, int]:
@@ -81,6 +86,36 @@ class Units:
         i = np.flatnonzero(cut)
         return i, np.append(i[1:], n)
 
+    def windows(self, width: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, end word) of the last least-hashed of every `window` neighbouring windows of `width` words."""
+        n = len(self.start)
+        g = np.zeros(n + 2 * window, U64)  # 0 where no window fits: what stands there bounds every text
+        at = np.arange(max(n - width + 1, 0))
+        at = at[self.first[self.doc(at) + 1] - at >= width]
+        if not len(at):
+            return at, at
+        g[at + window] = np.maximum(self.seq(at, at + width), U64(1))
+        own = g[at + window]
+        left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        more, less = np.ones(len(at), bool), np.ones(len(at), bool)
+        for d in range(1, window):
+            more &= g[at + window - d] >= own
+            less &= g[at + window + d] > own
+            left += more
+            right += less
+        at = at[left + right >= window - 1]
+        return at, at + width
+
+    def around(self, i: np.ndarray, j: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+        """(words of the text behind j, `reach` at most; 32-bit hashes of the 1 .. reach words before i and behind j)."""
+        d = self.doc(i)
+        low, high = self.first[d], self.first[d + 1]
+        out = np.zeros((len(i), 2 * reach), np.uint32)
+        for k in range(1, reach + 1):
+            out[:, k - 1] = self.seq(np.maximum(i - k, low), i) >> U64(32)
+            out[:, reach + k - 1] = self.seq(j, np.minimum(j + k, high)) >> U64(32)
+        return np.minimum(high - j, reach), out
+
     def shingles(self, i: np.ndarray, j: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, count per unit) of the units' shingles; a unit of fewer words is one shingle."""
         count = np.maximum(j - i - width + 1, 1)
@@ -98,9 +133,9 @@ def _scan(batches, emit):
                 yield got
 
 
-def _passage_rows(wanted=None):
+def _passage_rows(wanted=None, near=False):
     def emit(u: Units, ids):
-        i, j = u.stretches()
+        i, j = (np.concatenate(x) for x in zip(u.stretches(), u.windows()))
         h = u.seq(i, j)
         if wanted is not None:
             keep = in_bitmap(wanted.value, h)
@@ -108,11 +143,88 @@ def _passage_rows(wanted=None):
         if not len(i):
             return None
         d = u.doc(i)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(d)), pa.array((i - u.first[d]).astype(np.int32)), pa.array((j - i).astype(np.int32))], ["h", "doc_id", "pos", "n"])
+        cols = [pa.array(h.view(np.int64)), ids.take(pa.array(d)), pa.array((i - u.first[d]).astype(np.int32)), pa.array((j - i).astype(np.int32))]
+        names = ["h", "doc_id", "pos", "n"]
+        if near:
+            room, sides = u.around(i, j)
+            off = pa.py_buffer((np.arange(len(i) + 1) * sides.shape[1] * 4).astype(np.int32))
+            cols += [pa.array(room.astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(i), [None, off, pa.py_buffer(sides)])]
+            names += ["room", "near"]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     return lambda batches: _scan(batches, emit)
 
 
+def _near(col) -> np.ndarray:
+    data, off, _ = text_buffers(col)
+    return np.frombuffer(data.tobytes(), np.uint32).reshape(len(off) - 1, 2 * REACH)
+
+
+def _edges(batches):
+    """(h) of the repeated passages within REACH words of an end of a run of them; rows come sorted by doc_id, pos."""
+
+    def close(t):
+        doc, pos, n = (t.column(c).to_numpy() for c in ("doc_id", "pos", "n"))
+        end = pos.astype(np.int64) + n
+        new = np.append(True, doc[1:] != doc[:-1])
+        no = np.cumsum(new) - 1
+        far = np.maximum.accumulate(end + no * (1 << 33)) - no * (1 << 33)
+        new[1:] |= pos[1:] > far[:-1]
+        at = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        keep = (pos - pos[at][run] <= REACH) | (np.maximum.reduceat(end, at)[run] - end <= REACH)
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("h").to_numpy()[keep])], ["h"])
+
+    return _runs(batches, ["doc_id", "h", "pos", "n"], close)
+
+
+def _keys(h, code, side, more):
+    return mix(mix(h.view(U64) + (side + 1).astype(U64)) + (code.astype(U64) << U64(8)) + more.astype(U64)).view(np.int64)
+
+
+def _extended(batches):
+    """Rows beside their first occurrence: (null, doc_id, at, pos, n) with what agrees on both sides of it, and for each
+    side that ends before REACH words (key, ..., side, more, h), whose key holds one word more, the more-th."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, pos, n, room, first_pos, first_room = (b.column(c).to_numpy() for c in ("h", "pos", "n", "room", "first_pos", "first_room"))
+        own, first = _near(b.column("near")), _near(b.column("first_near"))
+        length = np.arange(1, REACH + 1)
+        start, size, row, side, more, code = pos.copy(), n.copy(), [], [], [], []
+        for k, have, both in ((0, np.minimum(pos, REACH), np.minimum(pos, first_pos)), (1, room, np.minimum(room, first_room))):
+            x, y = own[:, k * REACH : (k + 1) * REACH], first[:, k * REACH : (k + 1) * REACH]
+            same = np.logical_and.accumulate((x == y) & (length <= both[:, None]), axis=1).sum(1).astype(np.int32)
+            start -= same if k == 0 else 0
+            size += same
+            r = np.flatnonzero(same < have)
+            row.append(r)
+            side.append(np.full(len(r), k, np.int32))
+            more.append(same[r] + np.int32(1))
+            code.append(x[r, same[r]])
+        row, side, more, code = (np.concatenate(x) for x in (row, side, more, code))
+        every = np.concatenate([np.arange(len(pos)), row])
+        none = np.arange(len(every)) < len(pos)
+        wide = lambda x: np.concatenate([np.zeros(len(pos), x.dtype), x])
+        key = _keys(h[row], code, side, more)
+        yield pa.RecordBatch.from_arrays([pa.array(wide(key), mask=none), b.column("doc_id").take(pa.array(every)), pa.array(pos[every]), pa.array(np.concatenate([start, pos[row]])), pa.array(np.concatenate([size, n[row]])), pa.array(wide(side)), pa.array(wide(more)), pa.array(h[every])], ["key", "doc_id", "at", "pos", "n", "side", "more", "h"])
+
+
+def _longer(batches):
+    """(key, doc_id, at, pos, n) for each longer side of rows whose side is shared by one word more."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, pos, n, side, more, room = (b.column(c).to_numpy() for c in ("h", "at", "n", "side", "more", "room"))
+        near = _near(b.column("near"))
+        have = np.where(side == 0, np.minimum(pos, REACH), room)
+        count = (have - more + 1).astype(np.int64)
+        r = np.repeat(np.arange(len(pos)), count)
+        d = spread(more.astype(np.int64), count).astype(np.int32)
+        key = _keys(h[r], near[r, side[r] * REACH + d - 1], side[r], d)
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(pa.array(r)), pa.array(pos[r]), pa.array(np.where(side[r] == 0, pos[r] - d, pos[r]).astype(np.int32)), pa.array(n[r] + d)], ["key", "doc_id", "at", "pos", "n"])
+
+
 def band_keys(sh: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """units x bands keys of the MinHash signatures of shingle hashes."""
     rng = np.random.default_rng(7)
@@ -275,13 +387,29 @@ BITS = 24
 
 
 def repeated_passages(texts: DataFrame) -> DataFrame:
-    """(doc_id, pos, n): stretches that occur earlier too, in order of (doc_id, pos)."""
+    """(doc_id, pos, n): passages that occur earlier too, in order of (doc_id, pos), out to where they differ."""
     schema = "h long, doc_id long, pos int, n int"
     counts = texts.mapInArrow(_passage_rows(), schema).groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "pos")).alias("at")).where("times > 1")
     counts = materialize(counts, "passages")
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap(counts, "h", BITS))
-    rows = texts.mapInArrow(_passage_rows(wanted), schema)
-    return rows.join(counts.select("h", "at"), "h").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))).select("doc_id", "pos", "n")
+    rows = texts.mapInArrow(_passage_rows(wanted), schema).join(counts.select("h", "at"), "h")
+    rows = materialize(rows.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))).select("h", "doc_id", "pos", "n"), "repeats")
+    edges = rows.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_edges, "h long")
+    edges = materialize(edges.distinct().join(counts.select("h", "at"), "h"), "edges")
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(edges, "h", BITS))
+    near = materialize(texts.mapInArrow(_passage_rows(wanted, True), f"{schema}, room int, near binary").join(edges, "h"), "near")
+    later = ~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))
+    first = near.where(~later).groupBy("h").agg(F.min(F.struct("pos", "room", "near")).alias("f")).select("h", F.col("f.pos").alias("first_pos"), F.col("f.room").alias("first_room"), F.col("f.near").alias("first_near"))
+    near = near.where(later).drop("at")
+    found = near.join(materialize(first, "firsts"), "h")
+    found = materialize(found.mapInArrow(_extended, "key long, doc_id long, at int, pos int, n int, side int, more int, h long"), "extended")
+    least = lambda d: materialize(d.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("least")).where("times > 1").select("key", "least"), "beyond")
+    beyond = found.where("key is not null")
+    beyond = beyond.join(least(beyond).select("key"), "key").select("h", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_d"), "at", "n", "side", "more").distinct()
+    near = near.select("h", "doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_d"), F.col("pos").alias("at"), "n", "room", "near")
+    longer = materialize(near.join(beyond, ["h", "_d", "at", "n"]).mapInArrow(_longer, "key long, doc_id long, at int, pos int, n int"), "longer")
+    longer = longer.join(least(longer), "key").where(~F.struct("doc_id", "at").eqNullSafe(F.col("least"))).groupBy("doc_id", "at").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("end"))
+    return rows.select("doc_id", "pos", "n").unionByName(found.where("key is null").select("doc_id", "pos", "n")).unionByName(longer.select("doc_id", "pos", (F.col("end") - F.col("pos")).alias("n")))
 
 
 def similar_paragraphs(texts: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_LINE) -> DataFrame:

@@ -336,6 +336,23 @@ def test_paragraphs(spark, odd):
     assert paragraph_dedup.dedup_paragraphs(odd.limit(0)).count() == 0 and paragraph_dedup.tune_bands(0.8, 0.995)[0] >= 2
 
 
+def test_passages_go_whole(spark):
+    rng = np.random.default_rng(8)
+    unique = lambda n: " ".join(f"w{x:x}" for x in rng.integers(0, 1 << 60, n))
+    rows, want = [], {}
+    for k in range(120):
+        n, a, b, p = 20 + k % 45, 1000 + 2 * k, 1001 + 2 * k, unique(20 + k % 45)
+        head, tail = unique(30), unique(25)
+        rows += [(a, f"{unique(40)} {p} {unique(30)}"), (b, f"{head} {p} {tail}")]
+        want[b] = (n, f"{head} {tail}")
+    phrase, before, after = unique(14), unique(22), unique(22)
+    rows += [(1, f"{unique(30)} {phrase} {unique(30)}"), (5, f"{unique(9)} {before} {phrase} {after} {unique(9)}"), (6, f"{unique(8)} {before} {phrase} {after}")]
+    want[6] = (58, rows[-1][1].rsplit(" ", 58)[0] + " ")
+    got = {r.doc_id: r for r in paragraph_dedup.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d: (got[d].n_removed, got[d].text) for d in want} == want
+    assert not any(r.n_removed for d, r in got.items() if d not in want)
+
+
 def test_similar_forest_finds_all_links():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 25, 14)) for _ in range(40)]
