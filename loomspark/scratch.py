@@ -24,10 +24,15 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where none is set: the warehouse on a cluster, a temporary folder where driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomspark-")
+        if spark.sparkContext.master.split("[")[0] == "local":
+            named = "file://" + tempfile.mkdtemp(prefix="loomspark-")
+        else:
+            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomspark-scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
