@@ -1,55 +1,38 @@
-"""Helpers shared by the corpus operators: scratch tables, Arrow text buffers, rolling hashes, bounded bitmaps."""
+"""Helpers shared by the corpus operators: free column names, Arrow text buffers, rolling hashes, bounded bitmaps."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from loomspark.scratch import materialize, ready
+
+__all__ = ["materialize", "ready"]
+
 U64 = np.uint64
 #: Bytes of text that one vectorised step looks at; bounds the memory of the numpy temporaries.
 STEP_BYTES = 1 << 20
 
 
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the session was started from."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared scratch folder and reads it back: cuts lineage, survives a lost executor."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/loomspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def with_row_key(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn(key, F.monotonically_increasing_id())
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from every column in `taken`."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -165,10 +148,6 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
 # ---------------------------------------------------------------- bounded bitmap
 
 BITMAP_BITS = 22
@@ -194,3 +173,16 @@ def in_bitmap(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     k = int(len(bits)).bit_length() - 1 + 6
     word = (h >> U64(64 - k + 6)).astype(np.int64)
     return ((bits.view(U64)[word] >> ((h >> U64(64 - k)) & U64(63))) & U64(1)).astype(bool)
+
+
+def hit_rows(df: DataFrame, key: str, bits, hit: bool) -> DataFrame:
+    """The rows of df whose 64-bit hash column `key` is in the broadcast bitmap (hit) or not; rows pass as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = in_bitmap(bits.value, b.column(key).to_numpy())
+            b = b.filter(pa.array(got if hit else ~got))
+            if b.num_rows:
+                yield b
+
+    return df.mapInArrow(run, df.schema)

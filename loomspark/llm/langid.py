@@ -3,7 +3,10 @@
 Training counts character trigrams of every labelled document per language (hashed to BUCKETS classes, so the model
 is at most languages x BUCKETS floats). A document is a bag of words; the words' trigram likelihoods under each
 language are fixed, and expectation-maximisation estimates the document's language proportions. The language set
-grows greedily, by the language that most raises the penalised log-likelihood, while it rises.
+grows greedily, by the language that most raises the penalised log-likelihood, while it rises; of languages that raise
+it equally the first by code point.
+
+A text is held whole, with about ten words of eight bytes for each of its letters and one number a word and language.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import U64, mix, ready, steps, text_buffers
+from loomspark.llm.common import U64, free, materialize, mix, ready, steps, text_buffers
 
 BUCKETS = 1 << 15
 #: Added to each trigram count.
@@ -25,15 +28,19 @@ EM_ROUNDS = 8
 #: Words of one text that one step holds; longer texts run alone.
 STEP = 1 << 19
 UNKNOWN = "und"
+#: Languages that training takes at most; more labels than that are no languages, and their counts would fill the driver.
+MOST_LANGUAGES = 1000
+#: Code points from here on hold no letters.
+LETTERS_END = 0x40000
 
 _LETTERS: dict[str, np.ndarray] = {}
 
 
 def letters() -> np.ndarray:
-    """Lower-cased code point of each letter below U+20000, 0 for all else (built once a worker)."""
+    """Lower-cased code point of each letter, 0 for all else (built once a worker)."""
     if "t" not in _LETTERS:
-        t = np.zeros(0x20000, np.uint32)
-        for i in range(0x20000):
+        t = np.zeros(LETTERS_END, np.uint32)
+        for i in range(LETTERS_END):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
@@ -43,15 +50,17 @@ def letters() -> np.ndarray:
 
 
 def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(folded letter or 0, text index) per code point of the texts in one UTF-8 buffer."""
-    lead = (data & 0xC0) != 0x80
-    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    pos = np.flatnonzero(lead)
-    if len(pos) != len(cp):
-        raise ValueError("malformed UTF-8")
+    """(folded letter or 0, text index) per code point of the texts in one UTF-8 buffer; malformed bytes are U+FFFD."""
+    try:
+        cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        pos = np.flatnonzero((data & 0xC0) != 0x80)
+    except UnicodeDecodeError:
+        parts = [np.frombuffer(data[i:j].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for i, j in zip(off[:-1], off[1:])]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        cp, pos = np.concatenate(parts), None
     t = letters()
     folded = np.where(cp < len(t), t[np.minimum(cp, len(t) - 1)], 0)
-    return folded, np.searchsorted(pos, off)
+    return folded, np.searchsorted(pos, off) if pos is not None else np.append(0, np.cumsum(sizes))
 
 
 def word_trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,17 +126,25 @@ def held_out(doc_id: str = "doc_id"):
 def train(labelled: DataFrame, lang: str = "lang", text: str = "text") -> LanguageModel:
     """Fits on every row with a non-null lang; trigram counts are summed on the executors.
 
-    To the driver come at most languages x BUCKETS counts. Rows of null or empty text add nothing but their
-    language's name, so a language without any letters is learned with flat likelihoods."""
+    To the driver come at most MOST_LANGUAGES x BUCKETS counts; more labels are an error. Rows of null or empty text add
+    nothing, and a language without any letters is not learned. Trigrams that no language has count the same for all.
+    Repeated rows count each time; other columns are ignored; an empty table gives a model that knows no language."""
     ready(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    got = rows.mapInArrow(_count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = materialize(rows.mapInArrow(_count_rows, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    if sums.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    got = sums.toArrow()
     names = sorted(set(got["lang"].to_pylist()))
     counts = np.full((BUCKETS, len(names)), PRIOR)
     if names:
         code = {x: i for i, x in enumerate(names)}
         counts[got["bucket"].to_numpy(), [code[x] for x in got["lang"].to_pylist()]] += got["n"].to_numpy()
-    return LanguageModel(names, np.log(counts / counts.sum(0)).astype(np.float32))
+    logp = np.log(counts / counts.sum(0))
+    unseen = (counts == PRIOR).all(1)
+    if names and unseen.any():
+        logp[unseen] = logp[unseen].mean()
+    return LanguageModel(names, logp.astype(np.float32))
 
 
 def _em(ll: np.ndarray, sets: np.ndarray, word_at: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,8 +160,10 @@ def _em(ll: np.ndarray, sets: np.ndarray, word_at: np.ndarray, counts: np.ndarra
 
 
 def infer(model: LanguageModel, data: np.ndarray, off: np.ndarray, penalty: float = 1.0, tempering: float = 0.5, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[float]]]:
-    """(best language index or -1, its share, language set, proportions) per text.
+    """(best language index or -1, its score, language set, proportions) per text.
 
+    The score is the language's share of the words times the posterior probability, under equal priors, that it, rather
+    than another one alone, stands behind them.
     penalty: of one more language, in units of log(number of words). tempering: exponent of word likelihoods, for
     the dependence of overlapping trigrams."""
     n, count = len(off) - 1, len(model.languages)
@@ -196,25 +215,29 @@ def infer(model: LanguageModel, data: np.ndarray, off: np.ndarray, penalty: floa
     for k, i in enumerate(ids.tolist()):
         order = sorted(range(len(chosen[k])), key=lambda x: (-props[k][x], chosen[k][x]))
         sets[i], shares[i] = [chosen[k][x] for x in order], [min(1.0, props[k][x]) for x in order]
-        best[i], score[i] = sets[i][0], shares[i][0]
+        best[i] = sets[i][0]
+        odds = np.exp(np.delete(single[k], sets[i][1:]) - single[k, best[i]])
+        score[i] = shares[i][0] / max(1.0, odds.sum())
     return best, score, sets, shares
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, penalty: float = 1.0) -> DataFrame:
     """docs' columns `keep` (all but clashing ones by default), and lang_pred, score, languages, shares.
 
-    lang_pred is `und`, with score 0, where text is null or has no letter; also where nothing was learned."""
+    lang_pred is `und`, with score 0, where text is null or has no letter; also where nothing was learned. Repeated rows
+    each return a row; an empty table gives an empty result."""
     ready(docs.sparkSession)
     added = {"lang_pred", "score", "languages", "shares"}
     keep = [c for c in docs.columns if c not in added] if keep is None else keep
-    cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text_in"))
+    text_in = free(keep, "text_in")[0]
+    cols = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(text_in))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in cols.schema.fields[:-1]] + ["lang_pred string", "score double", "languages array<string>", "shares array<double>"])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            data, off, _ = text_buffers(b.column("_text_in"))
+            data, off, _ = text_buffers(b.column(text_in))
             names, score, sets, shares = [], [], [], []
             for i, j in steps(off, STEP):
                 best, s, ids, pis = infer(m, data[off[i] : off[j]], off[i : j + 1] - off[i], penalty)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import webp
-from loomspark.llm.common import ready, text_buffers
+from loomspark.llm.common import free, ready, text_buffers
 
 ROW, MAX_ROWS = 576, 1024
 FILL = 255
@@ -85,17 +85,19 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs without `text`, plus n_bytes (long) and `media` (binary): each whole text, padded, as lossless WebP.
 
-    Null texts are empty, which is one line of fill. Columns named like the added ones are replaced; repeated rows
-    each return a row; an empty table gives an empty result."""
+    Null texts are empty, which is one line of fill. Columns named like the added ones are replaced, all others come back
+    as they are; repeated rows each return a row; an empty table gives an empty result. A text is held whole, and of its
+    pixels MAX_ROWS lines at a time."""
     ready(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, "n_bytes", media)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_text"))
-    schema = rows.drop("_text").withColumns({"n_bytes": F.lit(0).cast("long"), media: F.lit(b"")}).schema
+    raw_text = free([*keep, "n_bytes", media], "text")[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(raw_text))
+    schema = rows.drop(raw_text).withColumns({"n_bytes": F.lit(0).cast("long"), media: F.lit(b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
         for b in batches:
-            data, off, _ = text_buffers(b.column("_text"))
+            data, off, _ = text_buffers(b.column(raw_text))
             for i, j in _slices(np.diff(off)):
                 out = []
                 for p, q in zip(off[i:j].tolist(), off[i + 1 : j + 1].tolist()):
@@ -113,14 +115,15 @@ def _read(media: DataFrame, column: str, added: str, work) -> DataFrame:
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in added.split(", ")]
     keep = [c for c in media.columns if c != column and c not in names]
-    rows = media.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("_media"))
-    schema = rows.drop("_media").schema
+    stored = free([*keep, *names], "media")[0]
+    rows = media.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(stored))
+    schema = rows.drop(stored).schema
     whole = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
         for b in batches:
-            data, off, valid = text_buffers(b.column("_media"))
+            data, off, valid = text_buffers(b.column(stored))
             for i, j in _slices(np.diff(off) * 4):
                 out = []
                 for k in range(i, j):

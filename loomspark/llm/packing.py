@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import LOWER, U64, Rolling, materialize, ready, spread, steps, text_buffers, words
+from loomspark.llm.common import LOWER, U64, Rolling, materialize, mix, ready, spread, steps, text_buffers, words
 
 CAPACITY = 4096
 END_ID = 1
@@ -104,48 +104,47 @@ def plan_bins(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
 
 
 class UnitTable:
-    """Open-addressed table from 64-bit hashes to runs of ids, looked up and filled by whole arrays."""
+    """Open-addressed table from pairs of 64-bit hashes to runs of ids, looked up and filled by whole arrays."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.place, self.used = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int32), 0
+        self.keys, self.twins, self.place, self.used = np.zeros(1 << 16, U64), np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int32), 0
         self.pool, self.pool_used = np.zeros(1 << 18, np.uint32), 0
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, -1 where there is none. Hash 0 stands for itself plus one."""
+    def find(self, h: np.ndarray, twin: np.ndarray) -> np.ndarray:
+        """Entry of each pair, -1 where there is none. Hash 0 stands for itself plus one."""
         h = np.where(h == 0, U64(1), h)
         mask = U64(len(self.keys) - 1)
         slot = (h & mask).astype(np.int64)
-        got = self.keys[slot]
-        out = np.where(got == h, self.place[slot], -1).astype(np.int64)
-        at = np.flatnonzero((got != h) & (got != 0))
+        out = np.full(len(h), -1)
+        at = np.arange(len(h))
         while len(at):
-            slot[at] = (slot[at] + 1) & int(mask)
             got = self.keys[slot[at]]
-            hit = got == h[at]
+            hit = (got == h[at]) & (self.twins[slot[at]] == twin[at])
             out[at[hit]] = self.place[slot[at[hit]]]
             at = at[~hit & (got != 0)]
+            slot[at] = (slot[at] + 1) & int(mask)
         return out
 
-    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
+    def _put(self, h: np.ndarray, twin: np.ndarray, entry: np.ndarray) -> None:
         mask = U64(len(self.keys) - 1)
         slot = (h & mask).astype(np.int64)
         at = np.arange(len(h))
         while len(at):
-            free = self.keys[slot[at]] == 0
-            _, first = np.unique(slot[at[free]], return_index=True)
-            won = at[free][first]
-            self.keys[slot[won]], self.place[slot[won]] = h[won], entry[won]
+            empty = self.keys[slot[at]] == 0
+            _, first = np.unique(slot[at[empty]], return_index=True)
+            won = at[empty][first]
+            self.keys[slot[won]], self.twins[slot[won]], self.place[slot[won]] = h[won], twin[won], entry[won]
             rest = np.ones(len(h), bool)
             rest[won] = False
             at = at[rest[at]]
             slot[at] = np.where(self.keys[slot[at]] != 0, (slot[at] + 1) & int(mask), slot[at])
 
-    def add(self, h: np.ndarray, runs: list[bytes]) -> None:
-        """Adds distinct, absent hashes with their ids, as little-endian unsigned 32-bit."""
+    def add(self, h: np.ndarray, twin: np.ndarray, runs: list[bytes]) -> None:
+        """Adds absent pairs of distinct first hashes with their ids, as little-endian unsigned 32-bit."""
         h = np.where(h == 0, U64(1), h)
         n = np.array([len(r) // 4 for r in runs], np.int64)
         ids = np.frombuffer(b"".join(runs), "<u4")
@@ -159,10 +158,11 @@ class UnitTable:
         self.used, self.pool_used = self.used + len(h), self.pool_used + len(ids)
         if 4 * self.used > len(self.keys):
             have = self.keys != 0
-            old = self.keys[have], self.place[have]
-            self.keys, self.place = np.zeros(4 * len(self.keys), U64), np.zeros(4 * len(self.place), np.int32)
+            old = self.keys[have], self.twins[have], self.place[have]
+            size = 4 * len(self.keys)
+            self.keys, self.twins, self.place = np.zeros(size, U64), np.zeros(size, U64), np.zeros(size, np.int32)
             self._put(*old)
-        self._put(h, entry)
+        self._put(h, twin, entry)
 
 
 class WordTokenizer:
@@ -172,7 +172,8 @@ class WordTokenizer:
     tail of signs, the letters and the tail. Valid for tokenizers that never join characters across ASCII white space,
     split letter runs from runs of other signs, and fold case. Unknown letter runs are encoded many at a time and told
     apart by the encoding's word numbers; other unknown units one by one; texts with a special token's beginning,
-    `<|`, whole. Units are known by a 64-bit hash."""
+    `<|`, whole. Units are known by two 64-bit hashes of different kinds: one of the bytes and their places, one of the
+    length and the first and last bytes."""
 
     TAIL = b".,;:!?%$&*#|()[]{}\"/+=_~^@"
 
@@ -197,16 +198,16 @@ class WordTokenizer:
         raw, cut = np.array(got.ids, "<u4").tobytes(), [*(begin * 4).tolist(), 4 * len(of)]
         return [raw[i:j] for i, j in zip(cut, cut[1:])]
 
-    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, plain: np.ndarray) -> None:
+    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray, twin: np.ndarray, plain: np.ndarray) -> None:
         if self.table.used > CACHE_WORDS:
             self.table.clear()
         texts = [raw[i:j].decode() for i, j in zip(start.tolist(), end.tolist())]
         for at in np.array_split(np.flatnonzero(plain), max(1, int(plain.sum()) // 4096)):
             if len(at):
-                self.table.add(h[at], self._letters([texts[i] for i in at.tolist()]))
+                self.table.add(h[at], twin[at], self._letters([texts[i] for i in at.tolist()]))
         at = np.flatnonzero(~plain)
         if len(at):
-            self.table.add(h[at], [self._raw(texts[i]) for i in at.tolist()])
+            self.table.add(h[at], twin[at], [self._raw(texts[i]) for i in at.tolist()])
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts in one buffer."""
@@ -223,20 +224,23 @@ class WordTokenizer:
             us, ue = np.stack([s, mid], 1).ravel(), np.stack([mid, e], 1).ravel()
             kind = np.stack([plain, np.zeros(n, bool)], 1).ravel()
             real = ue > us
-            h = Rolling(data).of(us[real], ue[real])
-            entry = self.table.find(h)
-            miss = np.flatnonzero(entry < 0)
-            if len(miss):
-                distinct, one = np.unique(h[miss], return_index=True)
+            us, ue, kind = us[real], ue[real], kind[real]
+            h = Rolling(data).of(us, ue)
+            # up to eight bytes from either end: all of most units
+            eight = np.concatenate([data, np.zeros(8, np.uint8)])
+            eight = np.lib.stride_tricks.sliding_window_view(eight, 8)
+            size = (ue - us).astype(U64)
+            short = np.minimum(size, U64(8))
+            cut = (U64(8) - short) * U64(8)
+            begin = np.ascontiguousarray(eight[us]).view(U64).ravel() << cut
+            close = np.ascontiguousarray(eight[np.maximum(ue - 8, us)]).view(U64).ravel() << cut
+            twin = begin + mix(close + size)
+            entry = self.table.find(h, twin)
+            while len(miss := np.flatnonzero(entry < 0)):  # again where the table began anew, or where first hashes agree
+                _, one = np.unique(h[miss], return_index=True)
                 one = miss[one]
-                before = self.table.used
-                self._learn(data.tobytes(), us[real][one], ue[real][one], distinct, kind[real][one])
-                entry = self.table.find(h)
-                if self.table.used < before and (entry < 0).any():  # the table began anew
-                    distinct, one = np.unique(h[entry < 0], return_index=True)
-                    one = np.flatnonzero(entry < 0)[one]
-                    self._learn(data.tobytes(), us[real][one], ue[real][one], distinct, kind[real][one])
-                    entry = self.table.find(h)
+                self._learn(data.tobytes(), us[one], ue[one], h[one], twin[one], kind[one])
+                entry = self.table.find(h, twin)
             count = self.table.count[entry]
             ids = self.table.pool[spread(self.table.begin[entry], count)]
             per = np.zeros(2 * n, np.int64)
@@ -304,7 +308,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (with length, part, local) plus sequence_id and offset, by best-fit decreasing over all rows.
 
-    Driver memory: one count for each distinct length and the plan made from them. An empty table packs to none."""
+    Driver memory: one count for each distinct length and the plan made from them, which is also what is broadcast: both
+    are bounded by the capacity. The counts before each partition, of which there may be many, meet the pieces in a
+    shuffle join: small rows, by partition and length. An empty table packs to none."""
     counts = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     hist = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     plan = np.array(sorted(plan_bins(hist, capacity)), np.int64).reshape(-1, 6)
@@ -324,10 +330,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(r[:, 3] + k // r[:, 4]), pa.array(r[:, 5] + k % r[:, 4] * length)], [*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return cut.join(bases, ["part", "length"]).select(*names, "_base").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return cut.join(bases.hint("shuffle_hash"), ["part", "length"]).select(*names, "_base").mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Null text counts as empty: just the end id."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null text counts as empty: just the end id. Repeated rows each have pieces of their own, rows without doc_id too;
+    other columns are ignored; an empty table gives no pieces. Which of equally long pieces goes where is open. A text is
+    held whole, with some ten words of eight bytes for each of its words."""
     cut = materialize(pieces(docs, path, capacity, end_id), "pieces")
     return pack(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

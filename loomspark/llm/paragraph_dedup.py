@@ -1,18 +1,21 @@
 """Substring dedup by paragraph MinHash banding.
 
-Two kinds of units are compared, both cut where the text itself says so:
+Two kinds of units go into bands of MinHash signatures of their five-word shingles:
 
-* paragraphs, the lines of at least MIN_LINE words: banded MinHash over five-word shingles finds candidates, exact
+* paragraphs, the lines of at least MIN_LINE words: bands tuned for high recall at the threshold find candidates, exact
   Jaccard verifies them, connected components cluster them;
-* passages: the stretches between local minima of word-pair hashes inside a line (about ten words), and of every WINDOW
-  windows of SEED words, over line ends too, the one of the least hash. Both are chosen by the words alone, so a passage
-  that starts in the middle of a paragraph has the same ones in every document, and one of SEED + WINDOW - 1 = MIN_RUN
-  words has at least one window. Repeated ones are extended word by word, first against the first occurrence, then
-  against the first that shares the words beyond it; only runs of at least MIN_RUN words are removed. REACH words on
-  each side are enough: a match that goes on beyond has a further window.
-
-Of each cluster the occurrence with the least (doc_id, word) stays. Shuffled are hashes, never text; text moves only
-for documents that lose something (plus the false hits of a fixed-size bitmap).
+* passages: of every WINDOW neighbouring windows of SEED words, over line ends too, the one of the least hash. The words
+  alone choose them, so any SEED + WINDOW - 1 = MIN_RUN words that repeat hold a window that is chosen wherever they
+  stand. A window has SEED - 4 shingles, too few to be similar and not equal; so one band finds all pairs, and the
+  verification is edit distance 0, by a second 64-bit hash. Clusters are extended word by word, first against the first
+  occurrence, then against the first that shares the words beyond it; only runs of at least MIN_RUN words are removed.
+  REACH words on each side are enough: a match that goes on beyond has a further window.
+
+Of each cluster the occurrence with the least (doc_id, hash of the text, word) stays. Shuffled are hashes, never text;
+text moves only for documents that lose something (plus the false hits of a fixed-size bitmap). A band key of more than
+BLOCK paragraphs is split: all are compared with one of them, and those unlike it with all others in blocks.
+
+A text is held whole, with some ten words of eight bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -24,13 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import LOWER, U64, Rolling, _powers, bitmap, in_bitmap, materialize, mix, ready, spread, steps, text_buffers, words
-from loomspark.llm.components import connected_components
+from loomspark.llm.common import LOWER, U64, Rolling, _powers, bitmap, free, hit_rows, in_bitmap, materialize, mix, ready, spread, steps, text_buffers, words
+from loomspark.operators.components import connected_components
+from loomspark.scratch import is_empty, small
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.995
-RADIUS, MIN_RUN, MIN_LINE = 5, 20, 20
+MIN_RUN, MIN_LINE = 20, 20
 SEED, WINDOW = 10, 11
 REACH = WINDOW - 1
+#: Shares of the least hashes in the one band of a window.
+SEED_ROWS = 2
+#: Paragraphs of one band key that are compared in one task.
+BLOCK = 256
+#: Stands for a missing doc_id.
+LAST = (1 << 63) - 1
 
 
 def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = 24) -> tuple[int, int]:
@@ -42,7 +52,7 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int
 
 
 class Units:
-    """Words, lines and content-defined stretches of the texts in one buffer."""
+    """Words, lines and content-chosen windows of the texts in one buffer."""
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.start, self.end, self.first = words(data, off)
@@ -67,25 +77,6 @@ class Units:
     def doc(self, word: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, word, side="right") - 1
 
-    def stretches(self, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, end word) of each stretch."""
-        n = len(self.start)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        top = U64(0xFFFFFFFFFFFFFFFF)
-        line_no = np.cumsum(self.new) - 1
-        at = np.arange(n) + radius * (line_no + 1)
-        g = np.full(int(at[-1]) + radius + 1, top, U64)
-        pair = mix(self.hash[1:] + self.hash[:-1] * U64(0x9E3779B97F4A7C15))
-        g[at[1:]] = np.where(self.new[1:], top, pair)
-        own = g[at]
-        cut = own < top
-        for d in range(1, radius + 1):
-            cut &= (own < g[at - d]) & (own <= g[at + d])
-        cut |= self.new
-        i = np.flatnonzero(cut)
-        return i, np.append(i[1:], n)
-
     def windows(self, width: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         """(first word, end word) of the last least-hashed of every `window` neighbouring windows of `width` words."""
         n = len(self.start)
@@ -124,27 +115,29 @@ class Units:
 
 
 def _scan(batches, emit):
-    """Calls emit(units, doc_ids) for each step of texts and passes on the batches it gives."""
+    """Calls emit(units, d, t) for each step of texts and passes on the batches it gives."""
     for b in batches:
         data, off, _ = text_buffers(b.column("text"))
+        d, t = b.column("d").to_numpy(), b.column("t").to_numpy()
         for i, j in steps(off):
-            got = emit(Units(data[off[i] : off[j]], off[i : j + 1] - off[i]), b.column("doc_id").slice(i, j - i))
+            got = emit(Units(data[off[i] : off[j]], off[i : j + 1] - off[i]), d[i:j], t[i:j])
             if got is not None:
                 yield got
 
 
 def _passage_rows(wanted=None, near=False):
-    def emit(u: Units, ids):
-        i, j = (np.concatenate(x) for x in zip(u.stretches(), u.windows()))
+    def emit(u: Units, ids, texts):
+        i, j = u.windows()
         h = u.seq(i, j)
         if wanted is not None:
             keep = in_bitmap(wanted.value, h)
             i, j, h = i[keep], j[keep], h[keep]
         if not len(i):
             return None
-        d = u.doc(i)
-        cols = [pa.array(h.view(np.int64)), ids.take(pa.array(d)), pa.array((i - u.first[d]).astype(np.int32)), pa.array((j - i).astype(np.int32))]
-        names = ["h", "doc_id", "pos", "n"]
+        doc = u.doc(i)
+        band = band_keys(*u.shingles(i, j), 1, SEED_ROWS)[:, 0]
+        cols = [pa.array(x) for x in (band.view(np.int64), h.view(np.int64), ids[doc], texts[doc], (i - u.first[doc]).astype(np.int32), (j - i).astype(np.int32))]
+        names = ["band", "h", "d", "t", "pos", "n"]
         if near:
             room, sides = u.around(i, j)
             off = pa.py_buffer((np.arange(len(i) + 1) * sides.shape[1] * 4).astype(np.int32))
@@ -161,12 +154,12 @@ def _near(col) -> np.ndarray:
 
 
 def _edges(batches):
-    """(h) of the repeated passages within REACH words of an end of a run of them; rows come sorted by doc_id, pos."""
+    """(h) of the repeated passages within REACH words of an end of a run of them; rows come sorted by d, t, pos."""
 
     def close(t):
-        doc, pos, n = (t.column(c).to_numpy() for c in ("doc_id", "pos", "n"))
+        d, text, pos, n = (t.column(c).to_numpy() for c in ("d", "t", "pos", "n"))
         end = pos.astype(np.int64) + n
-        new = np.append(True, doc[1:] != doc[:-1])
+        new = np.append(True, (d[1:] != d[:-1]) | (text[1:] != text[:-1]))
         no = np.cumsum(new) - 1
         far = np.maximum.accumulate(end + no * (1 << 33)) - no * (1 << 33)
         new[1:] |= pos[1:] > far[:-1]
@@ -175,7 +168,7 @@ def _edges(batches):
         keep = (pos - pos[at][run] <= REACH) | (np.maximum.reduceat(end, at)[run] - end <= REACH)
         yield pa.RecordBatch.from_arrays([pa.array(t.column("h").to_numpy()[keep])], ["h"])
 
-    return _runs(batches, ["doc_id", "h", "pos", "n"], close)
+    return _runs(batches, ["d", "t", "h", "pos", "n"], close)
 
 
 def _keys(h, code, side, more):
@@ -183,7 +176,7 @@ def _keys(h, code, side, more):
 
 
 def _extended(batches):
-    """Rows beside their first occurrence: (null, doc_id, at, pos, n) with what agrees on both sides of it, and for each
+    """Rows beside their first occurrence: (null, d, t, at, pos, n) with what agrees on both sides of it, and for each
     side that ends before REACH words (key, ..., side, more, h), whose key holds one word more, the more-th."""
     for b in batches:
         if not b.num_rows:
@@ -207,11 +200,11 @@ def _extended(batches):
         none = np.arange(len(every)) < len(pos)
         wide = lambda x: np.concatenate([np.zeros(len(pos), x.dtype), x])
         key = _keys(h[row], code, side, more)
-        yield pa.RecordBatch.from_arrays([pa.array(wide(key), mask=none), b.column("doc_id").take(pa.array(every)), pa.array(pos[every]), pa.array(np.concatenate([start, pos[row]])), pa.array(np.concatenate([size, n[row]])), pa.array(wide(side)), pa.array(wide(more)), pa.array(h[every])], ["key", "doc_id", "at", "pos", "n", "side", "more", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(wide(key), mask=none), b.column("d").take(pa.array(every)), b.column("t").take(pa.array(every)), pa.array(pos[every]), pa.array(np.concatenate([start, pos[row]])), pa.array(np.concatenate([size, n[row]])), pa.array(wide(side)), pa.array(wide(more)), pa.array(h[every])], ["key", "d", "t", "at", "pos", "n", "side", "more", "h"])
 
 
 def _longer(batches):
-    """(key, doc_id, at, pos, n) for each longer side of rows whose side is shared by one word more."""
+    """(key, d, t, at, pos, n) for each longer side of rows whose side is shared by one word more."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -220,9 +213,9 @@ def _longer(batches):
         have = np.where(side == 0, np.minimum(pos, REACH), room)
         count = (have - more + 1).astype(np.int64)
         r = np.repeat(np.arange(len(pos)), count)
-        d = spread(more.astype(np.int64), count).astype(np.int32)
-        key = _keys(h[r], near[r, side[r] * REACH + d - 1], side[r], d)
-        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("doc_id").take(pa.array(r)), pa.array(pos[r]), pa.array(np.where(side[r] == 0, pos[r] - d, pos[r]).astype(np.int32)), pa.array(n[r] + d)], ["key", "doc_id", "at", "pos", "n"])
+        k = spread(more.astype(np.int64), count).astype(np.int32)
+        key = _keys(h[r], near[r, side[r] * REACH + k - 1], side[r], k)
+        yield pa.RecordBatch.from_arrays([pa.array(key), b.column("d").take(pa.array(r)), b.column("t").take(pa.array(r)), pa.array(pos[r]), pa.array(np.where(side[r] == 0, pos[r] - k, pos[r]).astype(np.int32)), pa.array(n[r] + k)], ["key", "d", "t", "at", "pos", "n"])
 
 
 def band_keys(sh: np.ndarray, count: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -256,7 +249,7 @@ def _band_rows(bands: int, rows: int, min_words: int):
     def run(batches):
         seen: set[int] = set()
 
-        def emit(u: Units, ids):
+        def emit(u: Units, ids, texts):
             i, j, h = _line_units(u, min_words)
             if len(seen) > RECENT:
                 seen.clear()
@@ -294,26 +287,6 @@ def _runs(batches, columns, close):
         yield from close(rest.combine_chunks())
 
 
-def _shared_keys(batches):
-    """(key, unit) of the keys under which more than one unit stands; a unit once a key."""
-
-    def close(t):
-        key, unit = t.column("key").to_numpy(), t.column("unit").to_numpy()
-        order = np.lexsort((unit, key))
-        key, unit = key[order], unit[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])
-        key, unit = key[new], unit[new]
-        many = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        many[1:] |= same
-        many[:-1] |= same
-        if many.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(unit[many])], ["key", "unit"])
-
-    return _runs(batches, ["key", "unit"], close)
-
-
 def similar_forest(flat: np.ndarray, start: np.ndarray, size: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Spanning forest of the links of Jaccard >= threshold among sets, given as runs of distinct hashes.
 
@@ -352,6 +325,7 @@ def _verified(threshold: float):
         flat = lists.values.to_numpy()
         cut = np.flatnonzero(np.diff(key)) + 1
         src, dst = [], []
+        # a unit may stand twice under a key of a block
         for a, b in zip(np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(key)]]).tolist()):
             if b - a > 1:
                 s = off[a:b]
@@ -364,7 +338,7 @@ def _verified(threshold: float):
 
 
 def _line_rows(wanted, min_words: int):
-    def emit(u: Units, ids):
+    def emit(u: Units, ids, texts):
         i, j, h = _line_units(u, min_words)
         keep = in_bitmap(wanted.value, h)
         i, j, h = i[keep], j[keep], h[keep]
@@ -377,8 +351,8 @@ def _line_rows(wanted, min_words: int):
         new[1:] = (sh[1:] != sh[:-1]) | (of[1:] != of[:-1])
         of, sh = of[new], sh[new]
         off = np.searchsorted(of, np.arange(len(i) + 1)).astype(np.int32)
-        d = u.doc(i)
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids.take(pa.array(d)), pa.array((i - u.first[d]).astype(np.int32)), pa.array((j - i).astype(np.int32)), pa.ListArray.from_arrays(pa.array(off), pa.array(sh.view(np.int64)))], ["unit", "doc_id", "pos", "n", "shingles"])
+        doc = u.doc(i)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(texts[doc]), pa.array((i - u.first[doc]).astype(np.int32)), pa.array((j - i).astype(np.int32)), pa.ListArray.from_arrays(pa.array(off), pa.array(sh.view(np.int64)))], ["unit", "d", "t", "pos", "n", "shingles"])
 
     return lambda batches: _scan(batches, emit)
 
@@ -386,52 +360,84 @@ def _line_rows(wanted, min_words: int):
 BITS = 24
 
 
+PLACE = ["d", "t", "pos", "n"]
+
+
 def repeated_passages(texts: DataFrame) -> DataFrame:
-    """(doc_id, pos, n): passages that occur earlier too, in order of (doc_id, pos), out to where they differ."""
-    schema = "h long, doc_id long, pos int, n int"
-    counts = texts.mapInArrow(_passage_rows(), schema).groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "pos")).alias("at")).where("times > 1")
-    counts = materialize(counts, "passages")
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(counts, "h", BITS))
-    rows = texts.mapInArrow(_passage_rows(wanted), schema).join(counts.select("h", "at"), "h")
-    rows = materialize(rows.where(~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))).select("h", "doc_id", "pos", "n"), "repeats")
-    edges = rows.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "pos").mapInArrow(_edges, "h long")
-    edges = materialize(edges.distinct().join(counts.select("h", "at"), "h"), "edges")
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(edges, "h", BITS))
-    near = materialize(texts.mapInArrow(_passage_rows(wanted, True), f"{schema}, room int, near binary").join(edges, "h"), "near")
-    later = ~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))
+    """(d, t, pos, n): passages of texts (d, t, text) that occur earlier too, in order of (d, t, pos), out to where they
+    differ."""
+    schema = "band long, h long, d long, t long, pos int, n int"
+    share = texts.sparkSession.sparkContext.broadcast
+    counts = texts.mapInArrow(_passage_rows(), schema).groupBy("band", "h").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "pos")).alias("at")).where("times > 1")
+    counts = materialize(counts.drop("times"), "passages")
+    rows = texts.mapInArrow(_passage_rows(share(bitmap(counts, "h", BITS))), schema).join(counts, ["band", "h"])
+    rows = materialize(rows.where(F.struct("d", "t", "pos") != F.col("at")).select("h", *PLACE), "repeats")
+    edges = rows.repartition("d", "t").sortWithinPartitions("d", "t", "pos").mapInArrow(_edges, "h long")
+    edges = materialize(edges.distinct().join(counts, "h").drop("band"), "edges")
+    near = materialize(texts.mapInArrow(_passage_rows(share(bitmap(edges, "h", BITS)), True), f"{schema}, room int, near binary").drop("band").join(edges, "h"), "near")
+    later = F.struct("d", "t", "pos") != F.col("at")
     first = near.where(~later).groupBy("h").agg(F.min(F.struct("pos", "room", "near")).alias("f")).select("h", F.col("f.pos").alias("first_pos"), F.col("f.room").alias("first_room"), F.col("f.near").alias("first_near"))
     near = near.where(later).drop("at")
     found = near.join(materialize(first, "firsts"), "h")
-    found = materialize(found.mapInArrow(_extended, "key long, doc_id long, at int, pos int, n int, side int, more int, h long"), "extended")
-    least = lambda d: materialize(d.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "at")).alias("least")).where("times > 1").select("key", "least"), "beyond")
+    found = materialize(found.mapInArrow(_extended, "key long, d long, t long, at int, pos int, n int, side int, more int, h long"), "extended")
+    least = lambda x: materialize(x.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "at")).alias("least")).where("times > 1").select("key", "least"), "beyond")
     beyond = found.where("key is not null")
-    beyond = beyond.join(least(beyond).select("key"), "key").select("h", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_d"), "at", "n", "side", "more").distinct()
-    near = near.select("h", "doc_id", F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_d"), F.col("pos").alias("at"), "n", "room", "near")
-    longer = materialize(near.join(beyond, ["h", "_d", "at", "n"]).mapInArrow(_longer, "key long, doc_id long, at int, pos int, n int"), "longer")
-    longer = longer.join(least(longer), "key").where(~F.struct("doc_id", "at").eqNullSafe(F.col("least"))).groupBy("doc_id", "at").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("end"))
-    return rows.select("doc_id", "pos", "n").unionByName(found.where("key is null").select("doc_id", "pos", "n")).unionByName(longer.select("doc_id", "pos", (F.col("end") - F.col("pos")).alias("n")))
+    beyond = beyond.join(least(beyond).select("key"), "key").select("h", "d", "t", "at", "n", "side", "more").distinct()
+    near = near.select("h", "d", "t", F.col("pos").alias("at"), "n", "room", "near")
+    longer = materialize(near.join(beyond, ["h", "d", "t", "at", "n"]).mapInArrow(_longer, "key long, d long, t long, at int, pos int, n int"), "longer")
+    longer = longer.join(least(longer), "key").where(F.struct("d", "t", "at") != F.col("least")).groupBy("d", "t", "at").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("end"))
+    return rows.select(*PLACE).unionByName(found.where("key is null").select(*PLACE)).unionByName(longer.select("d", "t", "pos", (F.col("end") - F.col("pos")).alias("n")))
+
+
+def similar_links(shared: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(src, dst): links of Jaccard >= threshold by which any two similar units under one key are connected.
+
+    shared: distinct (key, unit); sets: (unit, shingles). Keys of up to `block` units are compared in one task. Of others
+    all units are compared with the least one. What is similar to it is thereby connected; what isn't is compared with
+    all units of its key, in tasks of a block of the former and a block of all."""
+    sizes = materialize(shared.groupBy("key").agg(F.count("*").alias("m"), F.min("unit").alias("lead")).where(F.col("m") > block), "hot")
+    work, star = shared, None
+    if not is_empty(sizes):
+        hot = shared.join(small(sizes), "key").join(sets, "unit")
+        lead = materialize(sizes.select("key", F.col("lead").alias("unit")).join(sets, "unit").select("key", F.col("shingles").alias("lead_shingles")), "leads")
+        both = F.size(F.array_intersect("shingles", "lead_shingles"))
+        near = both >= F.lit(threshold) * (F.size("shingles") + F.size("lead_shingles") - both) - 1e-9
+        hot = materialize(hot.join(small(lead), "key").select("key", "unit", "m", "lead", near.alias("near")), "stars")
+        star = hot.where("near and unit <> lead").select(F.col("lead").alias("src"), F.col("unit").alias("dst"))
+        work = shared.join(small(sizes.select("key")), "key", "left_anti")
+        unlike = materialize(hot.where("not near").groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("a")), "unlike")
+        if not is_empty(unlike):
+            hot = hot.join(small(unlike), "key").withColumn("b", F.ceil(F.col("m") / block).cast("int"))
+            own = F.pmod(F.xxhash64("unit"), F.col("a")).cast("int"), F.pmod(F.xxhash64("unit"), F.col("b")).cast("int")
+            rest = hot.where("not near").withColumn("i", own[0]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+            every = hot.withColumn("j", own[1]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("a") - 1)))
+            work = work.unionByName(rest.unionByName(every.select(rest.columns)).select(F.xxhash64("key", "i", "j").alias("key"), "unit").distinct())
+    pairs = work.join(sets, "unit").repartition("key").sortWithinPartitions("key").select("key", "unit", "shingles")
+    links = pairs.mapInArrow(_verified(threshold), "src long, dst long")
+    return links if star is None else links.unionByName(star)
 
 
-def similar_paragraphs(texts: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_LINE) -> DataFrame:
-    """(doc_id, pos, n): lines whose cluster of similar, not equal, lines has an earlier member."""
+def similar_paragraphs(texts: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_LINE, block: int = BLOCK) -> DataFrame:
+    """(d, t, pos, n): lines of texts (d, t, text) whose cluster of similar, not equal, lines has an earlier member."""
     bands, rows = tune_bands(threshold)
-    banded = texts.mapInArrow(_band_rows(bands, rows, min_words), "key long, unit long").repartition("key").sortWithinPartitions("key")
-    shared = materialize(banded.mapInArrow(_shared_keys, "key long, unit long"), "bands")
+    share = texts.sparkSession.sparkContext.broadcast
+    banded = materialize(texts.mapInArrow(_band_rows(bands, rows, min_words), "key long, unit long"), "bands")
+    keys = materialize(banded.groupBy("key").agg(F.min("unit").alias("least"), F.max("unit").alias("most")).where("least <> most").select("key"), "keys")
+    shared = hit_rows(banded, "key", share(bitmap(keys, "key", BITS)), True).join(keys, "key").distinct()
+    shared = materialize(shared, "shared")
     units = shared.select("unit").distinct()
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(units, "unit", BITS))
-    lines = materialize(texts.mapInArrow(_line_rows(wanted, min_words), "unit long, doc_id long, pos int, n int, shingles array<long>"), "lines")
-    sets = lines.groupBy("unit").agg(F.min_by("shingles", F.lit(0)).alias("shingles"), F.min(F.struct("doc_id", "pos")).alias("at"))
+    lines = materialize(texts.mapInArrow(_line_rows(share(bitmap(units, "unit", BITS)), min_words), "unit long, d long, t long, pos int, n int, shingles array<long>"), "lines")
+    sets = lines.groupBy("unit").agg(F.min_by("shingles", F.lit(0)).alias("shingles"), F.min(F.struct("d", "t", "pos")).alias("at"))
     sets = materialize(sets, "sets")
-    pairs = shared.join(sets.select("unit", "shingles"), "unit").repartition("key").sortWithinPartitions("key").select("key", "unit", "shingles")
-    links = pairs.mapInArrow(_verified(threshold), "src long, dst long")
-    comp = materialize(connected_components(links).withColumnRenamed("node", "unit"), "clusters")
+    links = similar_links(shared, sets.select("unit", "shingles"), threshold, block)
+    comp = materialize(connected_components(links).withColumnRenamed("id", "unit"), "clusters")
     first = sets.select("unit", "at").join(comp, "unit").groupBy("component").agg(F.min("at").alias("at"))
     member = comp.join(first, "component").select("unit", "at")
-    return lines.select("unit", "doc_id", "pos", "n").join(member, "unit").where(~F.struct("doc_id", "pos").eqNullSafe(F.col("at"))).select("doc_id", "pos", "n")
+    return lines.select("unit", *PLACE).join(member, "unit").where(F.struct("d", "t", "pos") != F.col("at")).select(*PLACE)
 
 
 def removed_runs(pos: list[int], n: list[int], whole: list[bool], min_run: int = MIN_RUN) -> list[tuple[int, int]]:
-    """Word ranges to remove from one text: repeated lines, and unions of repeated stretches of min_run words or more."""
+    """Word ranges to remove from one text: repeated lines, and unions of repeated passages of min_run words or more."""
     got = [(p, p + k) for p, k, w in zip(pos, n, whole) if w]
     run: list[int] | None = None
     for p, k in sorted((p, k) for p, k, w in zip(pos, n, whole) if not w):
@@ -465,40 +471,40 @@ def cut_text(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(keep)
 
 
+def keys_of(docs: DataFrame) -> tuple:
+    """(d, t) columns: what rows are known and ordered by."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string"))
+
+
 def marks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, runs): for each document that loses words, arrays pos, n, whole of its repeated units."""
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(d, t, pos, n, whole): for each document that loses words, arrays of its repeated units; d, t as in keys_of."""
+    d, t = keys_of(docs)
+    texts = docs.where("text is not null").select(d.alias("d"), t.alias("t"), F.col("text").cast("string").alias("text"))
     both = similar_paragraphs(texts, threshold).withColumn("whole", F.lit(True)).unionByName(repeated_passages(texts).withColumn("whole", F.lit(False)))
-    both = both.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "whole")).alias("u"))
+    both = both.where(F.col("d") != LAST).groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n", "whole")).alias("u"))
     enough = F.aggregate(F.col("u"), F.lit(0), lambda a, x: a + x["n"]) >= MIN_RUN
-    return materialize(both.where(enough).select("doc_id", F.xxhash64("doc_id").alias("_h"), F.col("u.pos").alias("_pos"), F.col("u.n").alias("_n"), F.col("u.whole").alias("_whole")), "marks")
-
-
-def _split(docs: DataFrame, wanted, hit: bool) -> DataFrame:
-    """docs whose doc_id hash is in the bitmap (hit) or not; rows pass as they are."""
-
-    def run(batches):
-        for b in batches:
-            got = in_bitmap(wanted.value, b.column("_h").to_numpy())
-            b = b.filter(pa.array(got if hit else ~got))
-            if b.num_rows:
-                yield b
-
-    return docs.withColumn("_h", F.xxhash64("doc_id")).mapInArrow(run, docs.withColumn("_h", F.xxhash64("doc_id")).schema)
+    return materialize(both.where(enough).select("d", "t", F.col("u.pos").alias("pos"), F.col("u.n").alias("n"), F.col("u.whole").alias("whole")), "marks")
 
 
 def dedup_paragraphs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with repeated paragraphs and passages cut out of text, and two more columns: n_removed, n_spans (long).
 
-    Every row comes back, also those left without words. Null texts stay null. Rows without doc_id take part in the
-    search but lose nothing; rows that repeat a doc_id are judged as one document and lose the same words."""
+    Every row comes back, also those left without words. Null texts stay null, empty ones empty. Rows are known by
+    doc_id and text: rows with one doc_id and different texts are different documents; rows equal in both are one, and
+    lose the same words. Rows without doc_id come after all others and lose nothing. Of equal occurrences the one in the least (doc_id,
+    hash of the text), at the least word, stays. Columns named like the added ones are replaced, all others come back as
+    they are; an empty table gives an empty result."""
     ready(docs.sparkSession)
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_removed", "n_spans", "_h", "_pos", "_n", "_whole")])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_removed", "n_spans")])
     found = marks(docs, threshold)
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(found, "_h", BITS))
+    d, t, key, pos, count, whole_line = free([*docs.columns, "n_removed", "n_spans"], "d", "t", "h", "pos", "n", "whole")
+    found = found.select(F.col("d").alias(d), F.col("t").alias(t), F.xxhash64("d", "t").alias(key), F.col("pos").alias(pos), F.col("n").alias(count), F.col("whole").alias(whole_line))
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(found, key, BITS))
+    keyed = docs.withColumns(dict(zip((d, t), keys_of(docs)))).withColumn(key, F.xxhash64(d, t))
     none = F.lit(0).cast("long")
-    rest = _split(docs, wanted, False).drop("_h").withColumns({"n_removed": none, "n_spans": none})
-    hit = _split(docs, wanted, True).drop("_h").join(found.drop("_h"), "doc_id", "left").select(*docs.columns, "_pos", "_n", "_whole")
+    original = [F.col(f"`{c}`") for c in docs.columns]
+    rest = hit_rows(keyed, key, wanted, False).select(*original, none.alias("n_removed"), none.alias("n_spans"))
+    hit = hit_rows(keyed, key, wanted, True).join(found.drop(key), [d, t], "left").select(*original, pos, count, whole_line)
     schema = docs.withColumns({"n_removed": none, "n_spans": none}).schema
     at = docs.columns.index("text")
 
@@ -507,9 +513,9 @@ def dedup_paragraphs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
                 texts, removed, spans = [], [], []
-                for t, p, n, w in zip(b.column("text").to_pylist(), *(b.column(c).to_pylist() for c in ("_pos", "_n", "_whole"))):
-                    runs = removed_runs(p, n, w) if p is not None and t is not None else []
-                    texts.append(cut_text(t.encode(), runs).decode() if runs else t)
+                for text, p, n, w in zip(b.column("text").to_pylist(), *(b.column(c).to_pylist() for c in (pos, count, whole_line))):
+                    runs = removed_runs(p, n, w) if p is not None and text is not None else []
+                    texts.append(cut_text(text.encode(), runs).decode() if runs else text)
                     removed.append(sum(y - x for x, y in runs))
                     spans.append(len(runs))
                 cols = list(b.columns[: len(schema) - 2])

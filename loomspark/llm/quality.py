@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspark.llm.common import free
+
 #: (measure, operator that keeps, threshold). A document is kept if the base rule passes and all these hold.
 RULES: list[tuple[str, str, float]] = [
     ("mean_word_chars", ">=", 2.0),
@@ -32,7 +34,7 @@ def word_list(text: Column) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """docs plus the measures of the rules; built-in expressions only.
+    """docs plus the measures of the rules; built-in expressions only. Columns that begin with `_` may be replaced.
 
     Repeated three-word windows are compared by 64-bit hash. Sorting (hash, place) pairs puts equal windows side by
     side; of their places in order, each covers three words or as many as the next one leaves it. Texts whose windows
@@ -93,11 +95,13 @@ def assess(docs: DataFrame, rules: list[tuple[str, str, float]] = RULES) -> Data
     """docs plus counts, ratios, base_failed and kept.
 
     Null and empty texts have no words: all counts 0, base_failed true, kept false. Columns of docs named like the
-    added ones are replaced; an empty table gives an empty result."""
+    added ones are replaced, all others come back as they are; repeated rows each return a row; an empty table gives an
+    empty result. A text is held whole, with its words and their window hashes as arrays of one row."""
     ratios = list(dict.fromkeys(r[0] for r in RULES))
     new = [*COUNTS, *ratios, "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in new and not c.startswith("_")]
-    d = measures(docs.select(*[F.col(f"`{c}`") for c in keep]))
+    keep = [c for c in docs.columns if c not in new]
+    row = free(["text"], "row")[0]
+    d = measures(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias(row), "text"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     d = d.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
-    return d.select(*[F.col(f"`{c}`") for c in keep], *new)
+    return d.select(*[F.col(row)[c].alias(c) for c in keep], *new)

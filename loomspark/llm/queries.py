@@ -12,8 +12,9 @@ from loomspark.llm.common import table
 
 
 def op1_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """text: what is left; where a cut goes through a character, its bytes are replaced by U+FFFD."""
+    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +117,8 @@ WITH p AS (
 ), h1 AS (
   SELECT *, string_split(name, '.') AS q, array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') AS two FROM h0
 ), h AS (
-  SELECT host, n, k, CASE WHEN two IN (LONG) THEN array_to_string(list_slice(q, -3, -1), '.') ELSE two END AS domain, CASE WHEN two IN (LONG) THEN two ELSE q[-1] END AS suffix FROM h1
+  SELECT host, n, k, CASE WHEN regexp_matches(name, 'ADDRESS') THEN name WHEN regexp_matches(name, 'LONG') THEN array_to_string(list_slice(q, -3, -1), '.') ELSE two END AS domain,
+         CASE WHEN regexp_matches(name, 'ADDRESS') THEN name WHEN regexp_matches(name, 'LONG') THEN two ELSE q[-1] END AS suffix FROM h1
 ), d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY ALL
 ), s AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY ALL
 ), t AS (SELECT (sum(sk) + 0.5::DOUBLE) / (sum(sn) + 1.0::DOUBLE) AS top FROM s
@@ -140,7 +142,7 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN lower > 0.2::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM f
-""".replace("LONG", ", ".join(f"'{x}'" for x in url_reputation.LONG_SUFFIXES))
+""".replace("LONG", url_reputation.LONG_SUFFIX).replace("ADDRESS", url_reputation.ADDRESS)
 
 OP7_SQL = r"""
 WITH r AS (

@@ -1,8 +1,9 @@
 """A run-length compressed Burrows-Wheeler index of a set of byte strings, with sampled run ends.
 
-Only the runs of the transform are kept, with the text positions of their first and last rows. Backward search needs
-no more; matching statistics of a streamed pattern use the samples as toe-holds; and how long the text at each of the
-index's own positions matches elsewhere follows from the samples too: between run borders it falls by one per byte.
+What stays of the transform are its runs: for each run its symbol's place in the first column, and, from the text
+positions of the runs' first and last rows, how far the suffix at a run's border agrees with the nearest run of the
+same symbol above and below. Strings stream through it from their ends, all at once, a byte a step; their matching
+statistics with respect to everything but themselves need nothing else, not even the text.
 """
 
 from __future__ import annotations
@@ -46,114 +47,74 @@ def suffix_order(data: np.ndarray, left: np.ndarray, owner: np.ndarray) -> np.nd
 
 
 class RunLengthIndex:
+    """run_start: first row of each run; step: row that its first row goes to by one step of backward search, -1 for a
+    string's beginning; above, below: bytes that the suffix thereby reached shares with the next row on that side."""
+
     def __init__(self, strings: list[bytes]):
         sizes = np.array([len(s) for s in strings], np.int64)
         self.count = len(strings)
         self.starts = np.cumsum(sizes + 1) - (sizes + 1)
-        self.data = np.frombuffer(b"\0".join([*strings, b""]) if strings else b"", np.uint8)
-        self.n = n = len(self.data)
+        data = np.frombuffer(b"\0".join([*strings, b""]) if strings else b"", np.uint8)
+        self.n = n = len(data)
         self.owner = np.repeat(np.arange(self.count), sizes + 1)
         self.left = (self.starts + sizes)[self.owner] - np.arange(n) if n else np.zeros(0, np.int64)
         if not n:
-            self.run_start = self.head_at = self.tail_at = self.run_sym = np.zeros(0, np.int64)
+            self.run_start = self.step = self.above = self.below = np.zeros(0, np.int64)
             return
-        sa = suffix_order(self.data, self.left, self.owner)
+        sa = suffix_order(data, self.left, self.owner)
         # what stands before each suffix: a byte, or a border of its own
-        bwt = np.where(np.isin(sa, self.starts), -1 - self.owner[sa], self.data[sa - 1].astype(np.int64))
+        bwt = np.where(self.left[sa - 1] == 0, -1 - self.owner[sa], data[sa - 1].astype(np.int64))
         head = np.ones(n, bool)
         head[1:] = bwt[1:] != bwt[:-1]
         self.run_start = np.flatnonzero(head)
         run_end = np.append(self.run_start[1:], n) - 1
-        self.run_sym = bwt[self.run_start]
-        self.head_at, self.tail_at = sa[self.run_start], sa[run_end]
-        # C and, for each byte, its runs with the rows of that byte before them
-        self.runs_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        run_len = run_end - self.run_start + 1
-        first_rows = np.bincount(self.data[self.left > 0], minlength=256)
-        self.c = np.concatenate([[0], np.cumsum(first_rows)])[:-1] + self.count
-        for sym in np.unique(self.run_sym[self.run_sym >= 0]).tolist():
-            r = np.flatnonzero(self.run_sym == sym)
-            self.runs_of[sym] = (r, np.cumsum(run_len[r]) - run_len[r])
-        self.run_len = run_len
-        words = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        self.words = np.zeros(n, np.uint64)
-        for j in range(8):
-            self.words |= words[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+        symbol = bwt[self.run_start]
+        # runs of one symbol follow each other in the first column
+        order = np.argsort(symbol, kind="stable")
+        order = order[symbol[order] >= 0]
+        length = (run_end - self.run_start + 1)[order]
+        self.step = np.full(len(symbol), -1)
+        self.step[order] = self.count + np.cumsum(length) - length
+        twin = symbol[order][1:] == symbol[order][:-1]
+        upper, lower = order[:-1][twin], order[1:][twin]
+        shared = 1 + self._common(data, sa[run_end[upper]], sa[self.run_start[lower]])
+        self.above, self.below = np.zeros(len(symbol), np.int64), np.zeros(len(symbol), np.int64)
+        self.above[lower] = self.below[upper] = shared
 
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of the suffixes at i and j, up to the nearer separator."""
+    def _common(self, data: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at i and j, up to the nearer separator; eight bytes at a time."""
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        words = np.zeros(self.n, np.uint64)
+        for k in range(8):
+            words |= padded[k : k + self.n].astype(np.uint64) << np.uint64(8 * k)
         most = np.minimum(self.left[i], self.left[j])
         out = np.zeros(len(i), np.int64)
         at = np.flatnonzero(most > 0)
         while len(at):
-            a, b = self.words[i[at] + out[at]], self.words[j[at] + out[at]]
-            x = a ^ b
+            x = words[i[at] + out[at]] ^ words[j[at] + out[at]]
             low = (x & (~x + np.uint64(1))).astype(np.float64)
             same = np.where(x == 0, 8, (np.frexp(low)[1] - 1) // 8)
             out[at] += same
             at = at[(same == 8) & (out[at] < most[at])]
         return np.minimum(out, most)
 
-    def elsewhere(self) -> np.ndarray:
-        """For each text position: how many bytes from there on also stand somewhere else in the index.
-
-        The neighbours of a row inside a run precede it with the same byte, so the match with the row above (below)
-        is one less than that one byte earlier; at run heads (tails) the samples give it afresh."""
-        n = self.n
-        if not n:
-            return np.zeros(0, np.int64)
-        at = np.arange(n)
-        best = np.zeros(n, np.int64)
-        for here, other, none in ((self.head_at, np.roll(self.tail_at, 1), 0), (self.tail_at, np.roll(self.head_at, -1), len(self.head_at) - 1)):
-            fresh = self.common(here, other)
-            fresh[none] = 0
-            value = np.zeros(n, np.int64)
-            value[here] = fresh
-            mark = np.zeros(n, np.int64)
-            mark[here] = here
-            last = np.maximum.accumulate(mark)
-            best = np.maximum(best, value[last] - (at - last))
-        return best
-
-    def _rank(self, sym: int, row: int) -> int:
-        """Rows of sym among the first `row` rows."""
-        runs, before = self.runs_of[sym]
-        k = int(np.searchsorted(self.run_start[runs], row)) - 1
-        if k < 0:
-            return 0
-        return int(before[k]) + min(row - int(self.run_start[runs[k]]), int(self.run_len[runs[k]]))
-
-    def occurrences(self, pattern: bytes) -> int:
-        """How often pattern stands in the strings: backward search over runs."""
-        lo, hi = 0, self.n
-        for sym in reversed(pattern):
-            if sym not in self.runs_of:
-                return 0
-            lo, hi = int(self.c[sym]) + self._rank(sym, lo), int(self.c[sym]) + self._rank(sym, hi)
-            if lo >= hi:
-                return 0
-        return hi - lo
+    def statistics(self) -> np.ndarray:
+        """For each text position: how many bytes from there on also start somewhere else in the index.
 
-    def matching_statistics(self, pattern: bytes) -> list[tuple[int, int]]:
-        """(length, text position) of the longest match of each suffix's prefix of pattern, streamed from its end."""
-        out: list[tuple[int, int]] = []
-        row, pos, length = 0, int(self.head_at[0]) if self.n else 0, 0
-        for sym in reversed(pattern):
-            if sym not in self.runs_of:
-                row, pos, length = 0, int(self.head_at[0]) if self.n else 0, 0
-                out.append((0, -1))
-                continue
-            runs, before = self.runs_of[sym]
-            k = int(np.searchsorted(self.run_start[runs], row, side="right")) - 1
-            if k >= 0 and row < self.run_start[runs[k]] + self.run_len[runs[k]]:
-                row, pos, length = int(self.c[sym] + before[k] + row - self.run_start[runs[k]]), pos - 1, length + 1
-            else:  # jump to the nearer run of sym above or below, by what still matches
-                options = []
-                for r, tail in ((k, True), (k + 1, False)):
-                    if 0 <= r < len(runs):
-                        p = int(self.tail_at[runs[r]] if tail else self.head_at[runs[r]])
-                        options.append((min(length, int(self.common(np.array([pos]), np.array([p]))[0])), p, int(before[r]) + (int(self.run_len[runs[r]]) - 1 if tail else 0)))
-                match, p, rank = max(options, key=lambda o: o[0])
-                row, pos, length = int(self.c[sym]) + rank, p - 1, match + 1
-            out.append((length, pos))
-        return out[::-1]
+        All strings are streamed backwards together. A string's row is known at its end (separators come first, in
+        order of the strings); one step takes the row to that of the suffix one byte longer. The row above (below)
+        goes along, its match growing by one, while both stand in one run; at a run's border the sample there says
+        what the nearest suffix with the same byte before it shares."""
+        out = np.zeros(self.n, np.int64)
+        row, at = np.arange(self.count), self.starts + np.bincount(self.owner, minlength=self.count) - 1
+        up, down = np.zeros(self.count, np.int64), np.zeros(self.count, np.int64)
+        last = np.append(self.run_start[1:], self.n) - 1
+        while len(row):
+            run = np.searchsorted(self.run_start, row, side="right") - 1
+            on = self.step[run] >= 0
+            row, run, at, up, down = row[on], run[on], at[on] - 1, up[on], down[on]
+            up = np.where(row == self.run_start[run], self.above[run], up + 1)
+            down = np.where(row == last[run], self.below[run], down + 1)
+            out[at] = np.maximum(up, down)
+            row = self.step[run] + row - self.run_start[run]
+        return out

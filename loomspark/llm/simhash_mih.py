@@ -3,7 +3,10 @@
 Fingerprints within `radius` bits agree up to radius // 2 bits on one of their two 32-bit halves. Every distinct
 fingerprint is put in a table under each half; a ball of that radius around each half is looked up in the table,
 and the complete distance of what meets is verified. Of two halves one bit apart exactly one has odd parity, so
-only odd halves list their 32 neighbours.
+only odd halves list their 32 neighbours. A half that very many fingerprints share is looked up by the segments of the
+other half besides: of four segments of eight bits at least one agrees.
+
+A text is held whole, with some ten words of eight bytes for each of its words while it is fingerprinted.
 """
 
 from __future__ import annotations
@@ -16,12 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import LOWER, materialize, ready, steps, text_buffers, words
-from loomspark.llm.components import connected_components
+from loomspark.llm.common import LOWER, bitmap, free, hit_rows, materialize, ready, steps, text_buffers, words
+from loomspark.operators.components import connected_components
+from loomspark.scratch import is_empty, small
 
 SHINGLE, SEED = 3, 42
 #: Rows of one bucket compared in one block.
 BLOCK = 2048
+#: Fingerprints under one half from which on it is split by the other half's segments.
+HOT = 1024
+BITS = 24
 
 
 def fingerprint_bytes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -65,13 +72,14 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         data, off, _ = text_buffers(b.column("text"))
         fp = [fingerprints_batch(data[off[i] : off[j]], off[i : j + 1] - off[i], SHINGLE, SEED) for i, j in steps(off)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(fp or [np.zeros(0, np.uint64)]).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(fp or [np.zeros(0, np.uint64)]).view(np.int64))], [*b.schema.names[:-1], "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; null texts and texts without words get 0."""
+    """(doc_id, t, fp) for every row, t a hash of the text; null texts and texts without words get fingerprint 0."""
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, t long, fp long")
 
 
 def _ball_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,7 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield batch(links)
 
 
-def near_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
+def near_classes(prints: DataFrame, radius: int = 3, hot: int = HOT) -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of prints (doc_id, fp) that links to another one.
 
     component_id is the least doc_id of all rows whose fingerprints are reachable over links of `radius` bits or
@@ -156,18 +164,28 @@ def near_classes(prints: DataFrame, radius: int = 3) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("radius must be 0 to 3")
     reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "fingerprints")
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+    halves = reps.select(F.explode(F.array(low, high.bitwiseOR(F.lit(1 << 32)))).alias("k"))
+    crowded = materialize(halves.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("k"), "crowded")
     rows = reps.mapInArrow(_ball_rows, "k long, fp long, rep long, own boolean")
+    if not is_empty(crowded):
+        crowded = small(crowded)
+        other = F.when(F.shiftrightunsigned("k", 32) == 0, high).otherwise(low)
+        parts = F.array(*[F.struct(F.lit(j).alias("j"), F.shiftrightunsigned(other, 8 * j).bitwiseAND(F.lit(255)).alias("v")) for j in range(4)])
+        split = rows.join(crowded, "k").withColumn("p", F.explode(parts)).select(F.xxhash64("k", "p.j", "p.v").alias("k"), "fp", "rep", "own")
+        rows = rows.join(crowded, "k", "left_anti").unionByName(split)
     sorted_rows = rows.repartition("k").sortWithinPartitions("k")
     links = sorted_rows.mapInArrow(lambda it: _links(it, radius), "src long, dst long")
     comp = connected_components(links)
-    return reps.join(comp.withColumnRenamed("node", "rep"), "rep").select("fp", F.col("component").alias("component_id"))
+    return reps.join(comp.withColumnRenamed("id", "rep"), "rep").select("fp", F.col("component").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
     """Per row of docs: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable, itself included).
 
     Equal fingerprints link at distance 0, fingerprint 0 of texts without words too. Rows without doc_id take
-    part with their fingerprint; a class of such rows alone has no id (null). Repeated rows each return a row."""
+    part with their fingerprint; a class of such rows alone has no id (null). Repeated rows each return a row; other
+    columns are ignored; an empty table gives an empty result."""
     prints = materialize(fingerprints(docs), "simhash")
     classes = near_classes(prints, radius)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -176,9 +194,24 @@ def simhash_components(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs without the near-duplicates: of each class the row with the least doc_id stays (one row of repeats).
-
-    Rows without doc_id stay: they can't be told apart from the class's other rows."""
-    keep = simhash_components(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    known = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs without the near-duplicates: of each class the row with the least (doc_id, hash of the text) stays, null ids
+    last, and of rows equal in both one. A class is a component of simhash_components; rows without doc_id whose
+    fingerprint no other row is linked to are a class by fingerprint. All columns come back as they are; an empty table
+    gives an empty result. Only rows that may go are shuffled."""
+    doc_id, t, known, verdict = free(docs.columns, "d", "t", "h", "v")
+    prints = materialize(fingerprints(docs), "simhash")
+    classes = prints.join(materialize(near_classes(prints, radius), "near"), "fp", "left")
+    classes = classes.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"), "doc_id", "t").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    classes = materialize(classes.withColumn("place", place), "rows")
+    least = classes.groupBy("component_id", "alone").agg(F.min("place").alias("least"))
+    same = F.col("a.component_id").eqNullSafe(F.col("b.component_id")) & F.col("a.alone").eqNullSafe(F.col("b.alone"))
+    judged = classes.alias("a").join(least.alias("b"), same).select("doc_id", "t", (F.col("place") == F.col("least")).alias("stays"), "n")
+    judged = materialize(judged.where("not stays or n > 1").select(F.col("doc_id").alias(doc_id), F.col("t").alias(t), F.xxhash64("doc_id", "t").alias(known), F.col("stays").alias(verdict)), "judged")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(judged, known, BITS))
+    keyed = docs.withColumns({doc_id: F.col("doc_id").cast("long"), t: F.xxhash64(F.col("text").cast("string"))}).withColumn(known, F.xxhash64(doc_id, t))
+    hits = hit_rows(keyed, known, bits, True).alias("a").join(judged.alias("b"), F.col(f"a.{doc_id}").eqNullSafe(F.col(f"b.{doc_id}")) & (F.col(f"a.{t}") == F.col(f"b.{t}")), "left")
+    hits = hits.select("a.*", F.col(f"b.{verdict}").alias(verdict))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    parts = [hit_rows(keyed, known, bits, False), hits.where(F.col(verdict).isNull()), hits.where(verdict).dropDuplicates([doc_id, t])]
+    return parts[0].select(*names).unionByName(parts[1].select(*names)).unionByName(parts[2].select(*names))

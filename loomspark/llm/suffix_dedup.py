@@ -7,11 +7,17 @@ windows that share an anchor in one text form a context; contexts of different a
 1. Count anchors; only texts' contexts at anchors that occur twice go on (most text drops out here).
 2. A context that occurs twice is repeated as a whole. It is never compared byte by byte, so copies cost nothing more.
 3. The different contexts of an anchor meet in one shard. Each shard builds a run-length BWT index of about SHARD_BYTES
-   of contexts and marks the windows whose matching statistics elsewhere reach the length.
-4. Anchors with more than HOT contexts are split: their windows are counted by two 64-bit hashes.
-
-Whole copies of a text are known by its hash and need none of this. Text is shuffled only for the contexts of step 3
-and 4 and for texts that lose something.
+   of contexts, streams all of them through it, and marks the windows whose matching statistics elsewhere in the shard
+   reach the length.
+4. An anchor with more than HOT different contexts is split into cells, each with its own place among the shards: the
+   windows in which the anchor stands at one of CELLS ranges of places share all bytes but that range's width, and those
+   bytes are the cell's key. Where more than HOT contexts share even these, their windows themselves are the keys, and
+   equal ones are repeated.
+
+Contexts and windows of one key are told apart by bytes (3) or two independent 64-bit hashes (2, and 4's last step; the
+anchor's hash and the context's are a pair too), whole texts by another pair. At 10**13 contexts the chance that any two
+different ones agree in a pair is below 10**-12. Text is shuffled only for the contexts of steps 3 and 4 and for texts
+that lose something. A text is held whole, with about ten words of eight bytes for each of its bytes while it is hashed.
 """
 
 from __future__ import annotations
@@ -25,24 +31,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm.common import U64, Rolling, bitmap, in_bitmap, materialize, ready, spread, steps, text_buffers
+from loomspark.llm.common import U64, Rolling, bitmap, free, hit_rows, in_bitmap, materialize, mix, ready, spread, steps, text_buffers
 from loomspark.llm.runlength_index import RunLengthIndex
 
 LENGTH, K = 400, 128
 SHARD_BYTES = 1 << 20
 HOT = 2000
+CELLS = 8
 STEP = 1 << 19
 BITS = 24
 
 
-def contexts(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, context hash, text, first window, last window) of all contexts of the texts in one buffer.
+def contexts(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(anchor hash, context hash, text, first window, last window, anchor) of all contexts of the texts in one buffer.
 
-    Windows are given by their start inside their text."""
+    Windows and anchors are given by their start inside their text."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < length:
-        return empty.view(U64), empty.view(U64), empty, empty, empty
+        return empty.view(U64), empty.view(U64), empty, empty, empty, empty
     roll = Rolling(data)
     kh = roll.kmers(k)
     w = length - k + 1
@@ -59,14 +66,14 @@ def contexts(data: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np
     at = spread(off[:-1], count)
     doc = np.repeat(np.arange(len(count)), count)
     if not len(at):
-        return empty.view(U64), empty.view(U64), empty, empty, empty
+        return empty.view(U64), empty.view(U64), empty, empty, empty, empty
     p = pos[at]
     new = np.ones(len(at), bool)
     new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     lo, hi, d = at[first], at[last], doc[first]
-    return kh[p[first]], roll.of(lo, hi + length), d, lo - off[d], hi - off[d]
+    return kh[p[first]], roll.of(lo, hi + length), d, lo - off[d], hi - off[d], p[first] - off[d]
 
 
 class _Scan:
@@ -91,8 +98,7 @@ class _Scan:
                         self.seen.add(key)
                         fresh[x] = True
                 keep = fresh[got[2]] if len(got[2]) else np.zeros(0, bool)
-                a, c, d, lo, hi = (x[keep] for x in got)
-                yield data[off[i] : off[j]], off[i : j + 1] - off[i], t1[i:j], t2[i:j], a, c, d, lo, hi
+                yield data[off[i] : off[j]], off[i : j + 1] - off[i], t1[i:j], t2[i:j], *(x[keep] for x in got)
 
 
 def _batch(columns: dict) -> pa.RecordBatch:
@@ -114,7 +120,7 @@ def _context_rows(length: int, k: int, wanted):
     merged (sure), and one row stands for them all with times 2."""
 
     def run(batches):
-        for _, _, t1, t2, a, c, d, lo, hi in _Scan(batches).steps(length, k):
+        for _, _, t1, t2, a, c, d, lo, hi, _ in _Scan(batches).steps(length, k):
             keep = in_bitmap(wanted.value, a)
             a, c, d, lo, hi = a[keep], c[keep], d[keep], lo[keep], hi[keep]
             if not len(a):
@@ -142,11 +148,11 @@ def _context_rows(length: int, k: int, wanted):
 
 
 def _context_bytes(length: int, k: int, wanted):
-    """(a, c, body) of the contexts whose hash is in the bitmap, each once a task or a little more often."""
+    """(a, c, mid, body) of the contexts whose hash is in the bitmap, each once a task or a little more often."""
 
     def run(batches):
         sent: set[int] = set()
-        for data, off, _, _, a, c, d, lo, hi in _Scan(batches).steps(length, k):
+        for data, off, _, _, a, c, d, lo, hi, mid in _Scan(batches).steps(length, k):
             keep = np.flatnonzero(in_bitmap(wanted.value, c))
             if len(sent) > 400_000:
                 sent.clear()
@@ -158,7 +164,7 @@ def _context_bytes(length: int, k: int, wanted):
             if out:
                 raw = data.tobytes()
                 bodies = [raw[i:j] for i, j in zip((off[d[out]] + lo[out]).tolist(), (off[d[out]] + hi[out] + length).tolist())]
-                yield _batch({"a": a[out], "c": c[out], "body": pa.array(bodies, pa.binary())})
+                yield _batch({"a": a[out], "c": c[out], "mid": (mid - lo)[out], "body": pa.array(bodies, pa.binary())})
 
     return run
 
@@ -176,7 +182,7 @@ def _shard_marks(length: int):
 
     def index(rows):
         x = RunLengthIndex([r[4] for r in rows])
-        hit = np.flatnonzero((x.elsewhere() >= length) & (x.left >= length))
+        hit = np.flatnonzero(x.statistics() >= length)
         own = x.owner[hit]
         out = []
         for i in np.unique(own).tolist():
@@ -201,6 +207,29 @@ def _shard_marks(length: int):
     return run
 
 
+def _cell_rows(length: int, k: int):
+    """(cell, t1, t2, lo, body): the windows of each context, by the range that the anchor's place in them is in."""
+
+    def run(batches):
+        width = -(-(length - k + 1) // CELLS)
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                s = b.slice(at, 2000)
+                data, off, _ = text_buffers(s.column("body"))
+                raw, roll, mid = data.tobytes(), Rolling(data), s.column("mid").to_numpy()
+                a, lo, most = s.column("a").to_numpy(), s.column("lo").to_numpy(), np.diff(off) - length
+                for t in range(CELLS):
+                    first, last = np.maximum(mid - (t + 1) * width + 1, 0), np.minimum(mid - t * width, most)
+                    r = np.flatnonzero(first <= last)
+                    if len(r):
+                        shared = off[r] + mid[r]
+                        key = mix(mix(a[r].view(U64) + U64(t + 1)) + roll.of(shared - t * width, shared - (t + 1) * width + 1 + length))
+                        bodies = [raw[i:j] for i, j in zip((off[r] + first[r]).tolist(), (off[r] + last[r] + length).tolist())]
+                        yield _batch({"a": key, "t1": s.column("t1").to_numpy()[r], "t2": s.column("t2").to_numpy()[r], "lo": (lo + first)[r], "body": pa.array(bodies, pa.binary())})
+
+    return run
+
+
 def _window_rows(length: int):
     def run(batches):
         for b in batches:
@@ -234,11 +263,15 @@ def marks(texts: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) ->
     kinds = materialize(by_context.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
     meet = materialize(by_context.join(kinds, "a").select("a", "c", "rep.*", "kinds"), "meet")
     needed = spark.sparkContext.broadcast(bitmap(meet, "c", BITS))
-    bodies = texts.mapInArrow(_context_bytes(length, k, needed), "a long, c long, body binary")
+    bodies = texts.mapInArrow(_context_bytes(length, k, needed), "a long, c long, mid long, body binary")
     ship = materialize(bodies.join(meet, ["a", "c"]).dropDuplicates(["a", "c"]), "bodies")
-    cold = ship.where(F.col("kinds") <= hot).select("a", "t1", "t2", "lo", "body").repartition("a").sortWithinPartitions("a")
-    found = cold.mapInArrow(_shard_marks(length), "t1 long, t2 long, lo long, end long")
-    windows = ship.where(F.col("kinds") > hot).select("t1", "t2", "lo", "body").mapInArrow(_window_rows(length), "w1 long, w2 long, t1 long, t2 long, lo long")
+    shape = "a long, t1 long, t2 long, lo long, body binary"
+    cells = materialize(ship.where(F.col("kinds") > hot).mapInArrow(_cell_rows(length, k), shape), "cells")
+    sizes = materialize(cells.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    cells = cells.join(sizes, "a")
+    cold = ship.where(F.col("kinds") <= hot).select("a", "t1", "t2", "lo", "body").unionByName(cells.where(F.col("kinds") <= hot).drop("kinds"))
+    found = cold.repartition("a").sortWithinPartitions("a").mapInArrow(_shard_marks(length), "t1 long, t2 long, lo long, end long")
+    windows = cells.where(F.col("kinds") > hot).select("t1", "t2", "lo", "body").mapInArrow(_window_rows(length), "w1 long, w2 long, t1 long, t2 long, lo long")
     windows = materialize(windows, "windows")
     again = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
     split = windows.join(again, ["w1", "w2"]).select("t1", "t2", "lo", (F.col("lo") + length).alias("end"))
@@ -260,7 +293,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
 
     Null texts are empty. Texts shorter than `length` lose nothing. Rows are known by their text alone: a null or
     repeated doc_id doesn't matter, and every row of a text that occurs twice loses all of it, if it is long enough.
-    Columns named like the added ones are replaced; an empty table gives an empty result."""
+    Columns named like the added ones are replaced, all others come back as they are; an empty table gives an empty
+    result."""
     ready(docs.sparkSession)
     if length < 16:
         raise ValueError("length must be 16 or more")
@@ -268,31 +302,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     new = ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
     names = [c for c in docs.columns if c not in new]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit(7), text).alias("_t2"), text.alias("_text"))
-    slim = materialize(keyed.select("_t1", "_t2", F.octet_length("_text").alias("n")), "sizes")
-    copies = materialize(slim.where(F.col("n") >= length).groupBy("_t1", "_t2").agg(F.count("*").alias("times")).where("times > 1").select("_t1", "_t2"), "copies")
-    found = marks(keyed.select(F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("_text").alias("text")), length, k, hot)
-    spans = found.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_set(F.struct("lo", "end")).alias("s"))
-    whole = F.array().cast("array<long>")
-    touched = copies.select("_t1", "_t2", whole.alias("_lo"), whole.alias("_end"), F.lit(True).alias("_all")).unionByName(
-        spans.join(copies, ["_t1", "_t2"], "left_anti").select("_t1", "_t2", F.col("s.lo").alias("_lo"), F.col("s.end").alias("_end"), F.lit(False).alias("_all")))
+    t1, t2, whole_text, los, ends, every = free([*names, *new], "t1", "t2", "text", "lo", "end", "all")
+    original = [F.col(f"`{c}`") for c in names]
+    keyed = docs.select(*original, F.xxhash64(text).alias(t1), F.xxhash64(F.lit(7), text).alias(t2), text.alias(whole_text))
+    slim = materialize(keyed.select(t1, t2, F.octet_length(whole_text).alias("n")), "sizes")
+    copies = materialize(slim.where(F.col("n") >= length).groupBy(t1, t2).agg(F.count("*").alias("times")).where("times > 1").select(t1, t2), "copies")
+    found = marks(keyed.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), F.col(whole_text).alias("text")), length, k, hot)
+    spans = found.groupBy(F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_set(F.struct("lo", "end")).alias("s"))
+    none = F.array().cast("array<long>")
+    touched = copies.select(t1, t2, none.alias(los), none.alias(ends), F.lit(True).alias(every)).unionByName(
+        spans.join(copies, [t1, t2], "left_anti").select(t1, t2, F.col("s.lo").alias(los), F.col("s.end").alias(ends), F.lit(False).alias(every)))
     touched = materialize(touched, "touched")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(touched, "_t1", BITS))
-
-    def split(hit: bool):
-        def run(batches):
-            for b in batches:
-                got = in_bitmap(bits.value, b.column("_t1").to_numpy())
-                b = b.filter(pa.array(got if hit else ~got))
-                if b.num_rows:
-                    yield b
-
-        return keyed.mapInArrow(run, keyed.schema)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(touched, t1, BITS))
 
     zero = F.lit(0).cast("long")
-    size = F.octet_length("_text").cast("long")
-    rest = split(False).select(*names, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("_text").cast("binary").alias("kept"), F.sha2("_text", 256).alias("kept_sha256"))
-    lost = split(True).join(touched, ["_t1", "_t2"], "left").select(*names, "_text", "_lo", "_end", "_all")
+    size = F.octet_length(whole_text).cast("long")
+    rest = hit_rows(keyed, t1, bits, False).select(*original, size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col(whole_text).cast("binary").alias("kept"), F.sha2(whole_text, 256).alias("kept_sha256"))
+    lost = hit_rows(keyed, t1, bits, True).join(touched, [t1, t2], "left").select(*original, whole_text, los, ends, every)
     schema = rest.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +326,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
             for at in range(0, full.num_rows, 256):
                 b = full.slice(at, 256)
                 n, removed, count, kept, sha = [], [], [], [], []
-                data, off, _ = text_buffers(b.column("_text"))
+                data, off, _ = text_buffers(b.column(whole_text))
                 raw = data.tobytes()
-                for i, j, lo, end, everything in zip(off[:-1].tolist(), off[1:].tolist(), *(b.column(c).to_pylist() for c in ("_lo", "_end", "_all"))):
+                for i, j, lo, end, everything in zip(off[:-1].tolist(), off[1:].tolist(), *(b.column(c).to_pylist() for c in (los, ends, every))):
                     t = raw[i:j]
                     runs = [(0, len(t))] if everything else merged(lo, end) if lo else []
                     parts, last = [], 0

@@ -15,8 +15,10 @@ from loomspark.llm.common import materialize
 
 #: (verdict, host and path); a rule fits its host and all subdomains where the url's path starts with its path.
 RULES: list[tuple[str, str]] = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Suffixes of two labels; all others have one.
-LONG_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.za", "co.kr", "com.tr"]
+#: Second labels under which the registries of two-letter top domains hand out names, so that the suffix has two labels.
+SECOND_LABELS = ["ac", "co", "com", "edu", "gov", "net", "ne", "or", "org"]
+LONG_SUFFIX = rf"(^|\.)({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}$"
+ADDRESS = r"^([0-9.]+|\[.*)$"
 LIMIT, BOUND_Z = 0.2, 1.645
 RHO = (0.001, 0.999)
 
@@ -38,13 +40,12 @@ def name_of(host: Column) -> Column:
 
 
 def suffix_of(name: Column) -> Column:
-    two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(LONG_SUFFIXES), two).otherwise(F.substring_index(name, ".", -1))
+    """The part under which names are registered; an IP address, which has none, stands for itself."""
+    return F.when(name.rlike(ADDRESS), name).when(name.rlike(LONG_SUFFIX), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(name: Column) -> Column:
-    three, two = F.substring_index(name, ".", -3), F.substring_index(name, ".", -2)
-    return F.when(two.isin(LONG_SUFFIXES), three).otherwise(two)
+    return F.when(name.rlike(ADDRESS), name).when(name.rlike(LONG_SUFFIX), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) -> tuple[Column, Column]:
@@ -98,13 +99,16 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
 
     outcomes: (page_id, bad) of the labelled pages. Null urls and urls without `://` have empty host and path, which
     is a host like any other. Hosts without labelled pages are allowed unless a rule blocks them. Rows without page_id
-    are judged too; repeated rows each return a row; columns named like the added ones are replaced."""
+    are judged too; repeated rows each return a row; columns named like the added ones are replaced, all others come back
+    as they are; an empty table gives an empty result. The bound is the posterior mean less BOUND_Z deviations, a normal
+    approximation of the beta posterior's quantile."""
     new = ["host", "path", "rule", "verdict", "lower"]
     keep = [c for c in pages.columns if c not in new]
-    p = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    original = [F.col(f"`{c}`") for c in keep]
+    p = pages.select(*original, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     seen = p.select("page_id", "host").join(outcomes.select("page_id", "bad"), "page_id").where("bad is not null").select("host", "bad")
     known = reputations(seen).select("host", "lower")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     d = p.join(known, "host", "left")
     method = F.when(F.col("lower") > limit, "block").otherwise("allow")
-    return d.select(*[F.col(f"`{c}`") for c in keep], "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "lower")
+    return d.select(*original, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "lower")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomspark.llm import chat, langid, media, mixing, packing, paragraph_dedup, quality, queries, runlength_index, simhash_mih, suffix_dedup, url_reputation, webp
-from loomspark.llm.components import connected_components
+from loomspark.operators.components import connected_components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_bytes string, size string, kept string, score string, media string"
@@ -75,7 +76,7 @@ def test_repeats_against_brute_force(spark):
         texts.append((i, "".join(parts)))
     texts += [(90, "ab" * 80), (91, "ab" * 30), (92, ""), (93, texts[3][1]), (93, texts[3][1]), (94, "é" * 40)]
     d = spark.createDataFrame(texts, "doc_id long, text string")
-    for hot in (2000, 1):  # with split anchors and without
+    for hot in (2000, 3, 1):  # without split anchors, with cells, with single windows
         check_repeats(suffix_dedup.remove_repeats(d, length=32, k=12, hot=hot).collect(), [(i, t.encode()) for i, t in texts], 32)
 
 
@@ -87,15 +88,18 @@ def test_repeats_on_odd_rows(spark, odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.text("abc", max_size=25), min_size=1, max_size=5), st.text("abcd", min_size=1, max_size=12))
-def test_run_length_index(strings, pattern):
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", max_size=25), max_size=6))
+def test_run_length_index(strings):
+    """The streamed statistics of every position against all others, one by one."""
     x = runlength_index.RunLengthIndex([s.encode() for s in strings])
-    p = pattern.encode()
-    assert x.occurrences(p) == sum(s[i:].startswith(pattern) for s in strings for i in range(len(s)))
-    for i, (n, at) in enumerate(x.matching_statistics(p)):
-        best = max((k for k in range(len(p) - i + 1) if any(pattern[i : i + k] in s for s in strings)), default=0)
-        assert n == best and (not n or x.data[at : at + n].tobytes() == p[i : i + n])
+    got = x.statistics().tolist()
+    places = [(k, i) for k, s in enumerate(strings) for i in range(len(s) + 1)]
+    assert len(got) == len(places)
+    for n, (k, i) in zip(got, places):
+        rest = strings[k][i:]
+        others = [strings[a][b:] for a, b in places if (a, b) != (k, i)]
+        assert n == max((sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(rest, o))) for o in others), default=0)
 
 
 # ---------------------------------------------------------------- op2
@@ -251,7 +255,7 @@ def test_simhash(spark, docs, odd):
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 50), (60, 61), (61, 60), (None, 3)], "src long, dst long")
-    assert {r.node: r.component for r in connected_components(e).collect()} == {**dict.fromkeys(range(31), 0), 60: 60, 61: 60}
+    assert {r.id: r.component for r in connected_components(e).collect()} == {**dict.fromkeys(range(31), 0), 60: 60, 61: 60}
 
 
 # ---------------------------------------------------------------- op7
