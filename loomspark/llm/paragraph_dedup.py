@@ -6,10 +6,11 @@ Two kinds of units go into bands of MinHash signatures of their five-word shingl
   Jaccard verifies them, connected components cluster them;
 * passages: of every WINDOW neighbouring windows of SEED words, over line ends too, the one of the least hash. The words
   alone choose them, so any SEED + WINDOW - 1 = MIN_RUN words that repeat hold a window that is chosen wherever they
-  stand. A window has SEED - 4 shingles, too few to be similar and not equal; so one band finds all pairs, and the
-  verification is edit distance 0, by a second 64-bit hash. Clusters are extended word by word, first against the first
-  occurrence, then against the first that shares the words beyond it; only runs of at least MIN_RUN words are removed.
-  REACH words on each side are enough: a match that goes on beyond has a further window.
+  stand. A window has SEED - 4 shingles, too few to be similar and not equal; so one band finds all pairs, and its key
+  takes in the order of the words, for edit distance 0. Clusters are extended word by word, first against the first
+  occurrence, then against the first that shares the words beyond it; only runs of at least MIN_RUN words are removed,
+  so no window goes by its key alone: as many words again have to agree by hashes of their own. REACH words on each side
+  are enough: a match that goes on beyond has a further window.
 
 Of each cluster the occurrence with the least (doc_id, hash of the text, word) stays. Shuffled are hashes, never text;
 text moves only for documents that lose something (plus the false hits of a fixed-size bitmap). A band key of more than
@@ -115,7 +116,7 @@ class Units:
 
 
 def _scan(batches, emit):
-    """Calls emit(units, d, t) for each step of texts and passes on the batches it gives."""
+    """Calls emit(units, d, t) for each step of texts (d, t, text) and passes on the batches it gives."""
     for b in batches:
         data, off, _ = text_buffers(b.column("text"))
         d, t = b.column("d").to_numpy(), b.column("t").to_numpy()
@@ -128,16 +129,15 @@ def _scan(batches, emit):
 def _passage_rows(wanted=None, near=False):
     def emit(u: Units, ids, texts):
         i, j = u.windows()
-        h = u.seq(i, j)
+        if not len(i):
+            return None
+        h = mix(band_keys(*u.shingles(i, j), 1, SEED_ROWS)[:, 0] + u.seq(i, j))
         if wanted is not None:
             keep = in_bitmap(wanted.value, h)
             i, j, h = i[keep], j[keep], h[keep]
-        if not len(i):
-            return None
         doc = u.doc(i)
-        band = band_keys(*u.shingles(i, j), 1, SEED_ROWS)[:, 0]
-        cols = [pa.array(x) for x in (band.view(np.int64), h.view(np.int64), ids[doc], texts[doc], (i - u.first[doc]).astype(np.int32), (j - i).astype(np.int32))]
-        names = ["band", "h", "d", "t", "pos", "n"]
+        cols = [pa.array(x) for x in (h.view(np.int64), ids[doc], texts[doc], (i - u.first[doc]).astype(np.int32), (j - i).astype(np.int32))]
+        names = ["h", "d", "t", "pos", "n"]
         if near:
             room, sides = u.around(i, j)
             off = pa.py_buffer((np.arange(len(i) + 1) * sides.shape[1] * 4).astype(np.int32))
@@ -366,15 +366,15 @@ PLACE = ["d", "t", "pos", "n"]
 def repeated_passages(texts: DataFrame) -> DataFrame:
     """(d, t, pos, n): passages of texts (d, t, text) that occur earlier too, in order of (d, t, pos), out to where they
     differ."""
-    schema = "band long, h long, d long, t long, pos int, n int"
+    schema = "h long, d long, t long, pos int, n int"
     share = texts.sparkSession.sparkContext.broadcast
-    counts = texts.mapInArrow(_passage_rows(), schema).groupBy("band", "h").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "pos")).alias("at")).where("times > 1")
+    counts = texts.mapInArrow(_passage_rows(), schema).groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "pos")).alias("at")).where("times > 1")
     counts = materialize(counts.drop("times"), "passages")
-    rows = texts.mapInArrow(_passage_rows(share(bitmap(counts, "h", BITS))), schema).join(counts, ["band", "h"])
+    rows = texts.mapInArrow(_passage_rows(share(bitmap(counts, "h", BITS))), schema).join(counts, "h")
     rows = materialize(rows.where(F.struct("d", "t", "pos") != F.col("at")).select("h", *PLACE), "repeats")
     edges = rows.repartition("d", "t").sortWithinPartitions("d", "t", "pos").mapInArrow(_edges, "h long")
-    edges = materialize(edges.distinct().join(counts, "h").drop("band"), "edges")
-    near = materialize(texts.mapInArrow(_passage_rows(share(bitmap(edges, "h", BITS)), True), f"{schema}, room int, near binary").drop("band").join(edges, "h"), "near")
+    edges = materialize(edges.distinct().join(counts, "h"), "edges")
+    near = materialize(texts.mapInArrow(_passage_rows(share(bitmap(edges, "h", BITS)), True), f"{schema}, room int, near binary").join(edges, "h"), "near")
     later = F.struct("d", "t", "pos") != F.col("at")
     first = near.where(~later).groupBy("h").agg(F.min(F.struct("pos", "room", "near")).alias("f")).select("h", F.col("f.pos").alias("first_pos"), F.col("f.room").alias("first_room"), F.col("f.near").alias("first_near"))
     near = near.where(later).drop("at")
@@ -471,15 +471,21 @@ def cut_text(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(keep)
 
 
-def keys_of(docs: DataFrame) -> tuple:
-    """(d, t) columns: what rows are known and ordered by."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.col("text").cast("string"))
+def keys_of(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, and their names: what rows are known and ordered by. They are doc_id and, only where
+    different texts have the same one, the text's hash (else 0, which costs nothing in a shuffle)."""
+    d, t = free(docs.columns, "d", "t")
+    keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), t: F.xxhash64(F.col("text").cast("string"))})
+    shared = materialize(keyed.groupBy(d).agg(F.min(t).alias("a"), F.max(t).alias("b")).where("a <> b").select(d), "shared-ids")
+    shared = small(shared.withColumn("b", F.lit(True)))
+    other = free(keyed.columns, "shared")[0]
+    found = keyed.join(shared.withColumnRenamed("b", other), d, "left") if not is_empty(shared) else keyed.withColumn(other, F.lit(None).cast("boolean"))
+    return found.withColumn(t, F.when(F.col(other), F.col(t)).otherwise(F.lit(0))).select(*[F.col(f"`{c}`") for c in keyed.columns]), d, t
 
 
-def marks(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(d, t, pos, n, whole): for each document that loses words, arrays of its repeated units; d, t as in keys_of."""
-    d, t = keys_of(docs)
-    texts = docs.where("text is not null").select(d.alias("d"), t.alias("t"), F.col("text").cast("string").alias("text"))
+def marks(docs: DataFrame, d: str, t: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(d, t, pos, n, whole): for each document that loses words, arrays of its repeated units; d, t: from keys_of."""
+    texts = docs.where("text is not null").select(F.col(d).alias("d"), F.col(t).alias("t"), F.col("text").cast("string").alias("text"))
     both = similar_paragraphs(texts, threshold).withColumn("whole", F.lit(True)).unionByName(repeated_passages(texts).withColumn("whole", F.lit(False)))
     both = both.where(F.col("d") != LAST).groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n", "whole")).alias("u"))
     enough = F.aggregate(F.col("u"), F.lit(0), lambda a, x: a + x["n"]) >= MIN_RUN
@@ -496,11 +502,12 @@ def dedup_paragraphs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     they are; an empty table gives an empty result."""
     ready(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_removed", "n_spans")])
-    found = marks(docs, threshold)
-    d, t, key, pos, count, whole_line = free([*docs.columns, "n_removed", "n_spans"], "d", "t", "h", "pos", "n", "whole")
+    keyed, d, t = keys_of(docs)
+    found = marks(keyed, d, t, threshold)
+    key, pos, count, whole_line = free([*keyed.columns, "n_removed", "n_spans"], "h", "pos", "n", "whole")
     found = found.select(F.col("d").alias(d), F.col("t").alias(t), F.xxhash64("d", "t").alias(key), F.col("pos").alias(pos), F.col("n").alias(count), F.col("whole").alias(whole_line))
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(found, key, BITS))
-    keyed = docs.withColumns(dict(zip((d, t), keys_of(docs)))).withColumn(key, F.xxhash64(d, t))
+    keyed = keyed.withColumn(key, F.xxhash64(d, t))
     none = F.lit(0).cast("long")
     original = [F.col(f"`{c}`") for c in docs.columns]
     rest = hit_rows(keyed, key, wanted, False).select(*original, none.alias("n_removed"), none.alias("n_spans"))
