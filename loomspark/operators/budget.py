@@ -26,9 +26,9 @@ class BudgetStats:
 def select_many(ranked: DataFrame, budget: int, strategy: str = "auto", trade: float = 0.7, communities: bool = False) -> tuple[DataFrame, DataFrame]:
     """(kept rows, stats) for every request of ranked (request_id, rank, content, community, ...).
 
-    The choice is sequential within a request, so a request is a group; it holds ranks, costs and line hashes only.
-    Rows that no state of the budget could admit are left out of the group, and counted as dropped. stats has
-    request_id, kept, dropped, final_tokens, strategy."""
+    The choice is sequential within a request, so a request is a group, in one task; it holds ranks, costs and line hashes
+    only. Rows too big for any state of the budget stay in it: the strategy, the share of new lines and the count of
+    dropped rows depend on them. stats has request_id, kept, dropped, final_tokens, strategy."""
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     ready(ranked.sparkSession)

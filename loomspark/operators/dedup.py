@@ -94,19 +94,24 @@ def _first_of_equal(prints: DataFrame, key: str) -> DataFrame:
 def simhash_pairs(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b, distance), a < b, of non-zero fingerprints at most `distance` (3 at most) bits apart.
 
-    Four 16-bit blocks: at three differing bits one block is equal, so the block join finds every pair."""
+    Of two 32-bit halves one differs in at most one bit. Every fingerprint stands under both its halves and looks both up;
+    of halves one bit apart exactly one has odd parity, and that one looks its 32 neighbours up besides."""
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
-    rows = prints.where("fp <> 0").select("pos", "fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("k", "block"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.pos") < F.col("b.pos")))
+    live = prints.where("fp <> 0").select("pos", "fp")
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
+
+    def ball(half: Column, part: int) -> Column:
+        tag = F.lit(part << 32)
+        own = F.array(half.bitwiseOR(tag))
+        near = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: half.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).bitwiseOR(tag))
+        return F.when(F.bit_count(half) % 2 == 1, F.concat(own, near)).otherwise(own)
+
+    table = live.select("pos", "fp", F.explode(F.array(low, high.bitwiseOR(F.lit(1 << 32)))).alias("k"))
+    looked = live.select("pos", "fp", F.explode(F.concat(ball(low, 0), ball(high, 1))).alias("k"))
     d = T.hamming(F.col("a.fp"), F.col("b.fp"))
-    # a pair is reported in its first equal block only, which makes a distinct needless
-    earlier = F.lit(False)
-    for k in range(3):
-        same = F.shiftrightunsigned(F.col("a.fp"), 16 * k).bitwiseAND(F.lit(0xFFFF)) == F.shiftrightunsigned(F.col("b.fp"), 16 * k).bitwiseAND(F.lit(0xFFFF))
-        earlier = earlier | (same & (F.col("a.k") > k))
-    return met.where((d <= distance) & ~earlier).select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), d.alias("distance"))
+    met = looked.alias("a").join(table.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.pos") != F.col("b.pos"))).where(d <= distance)
+    return met.select(F.least("a.pos", "b.pos").alias("a"), F.greatest("a.pos", "b.pos").alias("b"), d.alias("distance")).distinct()
 
 
 def minhash(chunks: DataFrame, width: int = SHINGLE_LINES, permutations: int = PERMUTATIONS) -> DataFrame:

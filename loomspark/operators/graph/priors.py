@@ -10,7 +10,7 @@ from loomspark.operators.graph import betweenness as between
 from loomspark.operators.graph import community, traverse, walk
 from loomspark.operators.graph.store import Store
 
-NAMES_A_TERM, BRIDGE_SHARE, STEINER_NAMES = 4, 0.5, 8
+NAMES_A_TERM, BRIDGE_SHARE = 4, 0.5
 
 
 def seeds_of(store: Store, query: str | None) -> DataFrame:
@@ -42,14 +42,15 @@ def tag_communities(store: Store, chunks: DataFrame) -> DataFrame:
 
 
 def impact(store: Store, paths: list[str], depth: int = 2, strategy: str = "bfs", reachable_only: bool = False) -> DataFrame:
-    """(path): files affected by changes at paths, by breadth-first radius, random walk or a Steiner subgraph."""
+    """(path): files affected by changes at paths, by breadth-first radius, random walk or a Steiner subgraph. The last
+    has the nodes at the changed paths as terminals, which come to the driver."""
     seeds = store.nodes.where(F.col("path").isin(*paths)).select("id") if paths else store.nodes.select("id").limit(0)
     if strategy == "bfs":
         ids = traverse.levels(store.edges, seeds, False, DEPENDENCY_KINDS, depth).select("id")
     elif strategy == "rwr":
         ids = walk.top(walk.random_walk(store.nodes, store.edges, seeds), walk.TOP_RWR).where("score > 0").select("id")
     elif strategy == "steiner":
-        found, _ = traverse.steiner(store.nodes, store.edges, [r.id for r in seeds.orderBy("id").limit(STEINER_NAMES * 32).collect()])
+        found, _ = traverse.steiner(store.nodes, store.edges, [r.id for r in seeds.orderBy("id").collect()])
         ids = store.nodes.sparkSession.createDataFrame([(i,) for i in found], "id long")
     else:
         raise ValueError("strategy must be bfs, rwr or steiner")

@@ -30,18 +30,22 @@ def greedy(costs: np.ndarray, budget: int) -> tuple[np.ndarray, int]:
 
 
 def knapsack(costs: np.ndarray, budget: int) -> np.ndarray:
-    """The set of most value, 1 / (1 + rank) a row, within the budget; ties leave later rows out."""
+    """The set of most value, 1 / (1 + rank) a row, within the budget; ties leave later rows out.
+
+    One row of values is kept, and a bit for each row and budget says whether the row raises it."""
     weight = np.maximum(costs, 1)
     value = 1.0 / (1.0 + np.arange(len(costs)))
     room = int(min(budget, weight.sum()))
-    best = np.zeros((len(costs) + 1, room + 1))
+    best, taken = np.zeros(room + 1), np.zeros((len(costs), room // 8 + 1), np.uint8)
     for i, (w, v) in enumerate(zip(weight.tolist(), value.tolist())):
-        best[i + 1] = best[i]
         if w <= room:
-            np.maximum(best[i + 1, w:], best[i, : room + 1 - w] + v, out=best[i + 1, w:])
+            new = best.copy()
+            np.maximum(new[w:], best[: room + 1 - w] + v, out=new[w:])
+            taken[i] = np.packbits(new > best + 1e-12)
+            best = new
     kept = np.zeros(len(costs), bool)
     for i in range(len(costs) - 1, -1, -1):
-        if room >= weight[i] and best[i + 1, room] > best[i, room] + 1e-12:
+        if taken[i, room >> 3] >> (7 - (room & 7)) & 1:
             kept[i] = True
             room -= int(weight[i])
     return kept

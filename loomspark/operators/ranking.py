@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.scratch import global_rank, materialize, small
+from loomspark.scratch import BROADCAST_ROWS, global_rank, materialize, small
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -20,22 +20,22 @@ DIGITS = 12
 
 
 class Corpus:
-    """Term statistics of chunks: tf (pos, t, tf), docs (pos, dl), df (t, df), and the scalars n and avgdl."""
+    """Term statistics of chunks: docs (pos, dl), df (t, df), and the scalars n and avgdl. Tokens stay with their row;
+    only counts a task and term are shuffled."""
 
     def __init__(self, chunks: DataFrame):
         tokens = T.tokenize_words(F.col("content"))
         both = materialize(chunks.select("pos", tokens.alias("tokens")), "tokens")
         self.docs = both.select("pos", F.size("tokens").cast("long").alias("dl"))
-        self.tf = both.select("pos", F.explode("tokens").alias("t")).groupBy("pos", "t").agg(F.count("*").alias("tf"))
-        self.df = self.tf.groupBy("t").agg(F.count("*").alias("df"))
+        self.df = both.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
         row = self.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
         self.n, self.avgdl = row.n, row.avgdl or 0.0
         self._tokens = both
 
     def tf_of(self, terms: DataFrame) -> DataFrame:
-        """(pos, t, tf) of the given few terms only: other tokens are dropped before the shuffle."""
-        rows = self._tokens.select("pos", F.explode("tokens").alias("t"))
-        return rows.join(small(terms.select("t")), "t", "left_semi").groupBy("pos", "t").agg(F.count("*").alias("tf"))
+        """(pos, dl, t, tf) of the given few terms only: other tokens are dropped before the shuffle."""
+        rows = self._tokens.select("pos", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("t"))
+        return rows.join(small(terms.select("t")), "t", "left_semi").groupBy("pos", "t").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
 
 
 def query_terms(spark: SparkSession, query: str | None) -> DataFrame:
@@ -50,15 +50,26 @@ def bm25(corpus: Corpus, terms: DataFrame) -> DataFrame:
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
     idf = F.ln((F.lit(float(corpus.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(max(corpus.avgdl, 1.0))
-    hit = tf.join(small(df.join(terms, "t").select("t", (F.col("times") * idf).alias("w"))), "t").join(corpus.docs, "pos")
+    hit = tf.join(small(df.join(terms, "t").select("t", (F.col("times") * idf).alias("w"))), "t")
     score = hit.groupBy("pos").agg(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("s"))
     return corpus.docs.select("pos").join(score, "pos", "left").select("pos", F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("score"))
 
 
 def density(corpus: Corpus) -> DataFrame:
-    """(pos, score): sum over a row's terms of their share times smoothed rarity; 0 for rows without terms."""
-    rarity = F.ln(F.lit(float(corpus.n + 1)) / (F.col("df") + 1.0)) + 1.0
-    s = corpus.tf.join(corpus.df, "t").join(corpus.docs, "pos").groupBy("pos").agg(F.sum(F.col("tf") / F.col("dl") * rarity).alias("s"))
+    """(pos, score): sum over a row's terms of their share times smoothed rarity; 0 for rows without terms.
+
+    That is the mean rarity of the row's tokens. The most frequent terms, BROADCAST_ROWS at most, meet the tokens by
+    broadcast, so no term has many rows in a shuffle; where there are more terms, the rest follow by a join of their
+    counts in each row."""
+    rarity = (F.ln(F.lit(float(corpus.n + 1)) / (F.col("df") + 1.0)) + 1.0).alias("w")
+    df = materialize(corpus.df, "df")
+    often = df.orderBy(F.desc("df"), "t").limit(BROADCAST_ROWS)
+    tokens = corpus._tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("t"))
+    parts = [tokens.join(F.broadcast(often.select("t", rarity)), "t").groupBy("pos", "dl").agg(F.sum("w").alias("w"))]
+    if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        rare = tokens.join(F.broadcast(often.select("t")), "t", "left_anti").groupBy("pos", "dl", "t").agg(F.count("*").alias("tf"))
+        parts.append(rare.join(df.select("t", rarity), "t").select("pos", "dl", (F.col("tf") * F.col("w")).alias("w")))
+    s = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).groupBy("pos").agg((F.sum("w") / F.first("dl")).alias("s"))
     return corpus.docs.select("pos").join(s, "pos", "left").select("pos", F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("score"))
 
 

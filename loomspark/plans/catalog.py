@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.functions.udfs import content_chunks, skeleton_code, strip_raw, symbols_of
-from loomspark.model import Config
+from loomspark.model import CHUNK, Config
 from loomspark.operators import budget, compress, dedup, pipeline, ranking
 from loomspark.operators import usage as reports
 from loomspark.operators.graph import betweenness, build, community, priors, store, traverse, walk
 from loomspark.plans import oracles, views
 from loomspark.plans.views import chunks, graph, table
-from loomspark.scratch import materialize
+from loomspark.scratch import materialize, scratch_dir
 from loomspark.sources import files, requests
+from loomspark.sources import usage_log as usage_rows
 from loomspark.streaming import watch
 
 QUERY = oracles.QUERY
@@ -249,7 +251,7 @@ def rrf_rank(spark, sf):
 @query
 def rank_final(spark, sf):
     got = ranking.rank(chunks(spark, sf), QUERY)
-    return got.where(F.col("rank") <= 20).select("pos", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+    return got.select("pos", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
 @query
@@ -300,7 +302,9 @@ def optimize_stats(spark, sf):
 
 @query
 def bundle(spark, sf):
-    return requests.bundle(chunks(spark, sf).where("pos < 50")).select(F.md5("bundle").alias("digest"), F.length("bundle").cast("long").alias("chars"))
+    """A request for each 50 documents."""
+    got = requests.bundle(chunks(spark, sf).withColumn("request_id", F.floor(F.col("pos") / 50)), by=["request_id"])
+    return got.select("request_id", F.md5("bundle").alias("digest"), F.length("bundle").cast("long").alias("chars"))
 
 
 # ---------------------------------------------------------------- graph
@@ -369,6 +373,20 @@ def weighted_walk(spark, sf):
     return walk.weighted_walk(g.nodes, g.edges, seeds, rounds=ROUNDS, tolerance=None).select("id", F.round("score", 9).alias("score"))
 
 
+@query
+def pagerank_joins(spark, sf):
+    """By the joins that larger graphs take."""
+    g = graph(spark, sf)
+    return walk.pagerank(g.nodes, g.edges, rounds=ROUNDS, tolerance=None, local=0).select("id", F.round("score", 9).alias("score"))
+
+
+@query
+def weighted_walk_joins(spark, sf):
+    g = graph(spark, sf)
+    seeds = _roots(spark, sf).select("id", (F.col("id") % 7 + 1).cast("double").alias("weight"))
+    return walk.weighted_walk(g.nodes, g.edges, seeds, rounds=ROUNDS, tolerance=None, local=0).select("id", F.round("score", 9).alias("score"))
+
+
 @query
 def top_central(spark, sf):
     g = graph(spark, sf)
@@ -473,6 +491,122 @@ def import_specs(spark, sf):
     return files.imports_of(views.code_files(spark, sf), relative_only=False).select("path", "spec")
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+
+def _folder(spark, name: str) -> str:
+    """A fresh folder among the scratch tables."""
+    return f"{scratch_dir(spark)}/loomspark/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def request_files(spark, sf):
+    """A request file for each 50 documents, written and read back."""
+    c = chunks(spark, sf).withColumn("skeleton_hint", F.col("pos") % 2 == 0).withColumn("request", F.floor(F.col("pos") / 50))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct("id", "path", "language", "content", "kind", "priority", "skeleton_hint").alias("c")))), lambda x: x["c"])
+    folder = _folder(spark, "requests")
+    c.groupBy("request").agg(F.to_json(F.struct(parts.alias("chunks"), F.concat(F.lit("q"), "request").alias("query"))).alias("value")).write.partitionBy("request").text(folder)
+    got, asked = requests.read_requests(spark, folder + "/*/*.txt")
+    got = got.join(asked, "request_id")
+    return got.select("id", "pos", "query", "path", "language", "kind", "priority", "skeleton_hint", F.md5("content").alias("digest"))
+
+
+@query
+def result_lines(spark, sf):
+    """All chunks as JSON lines, written and read back."""
+    folder = _folder(spark, "results")
+    requests.write_results(chunks(spark, sf), folder)
+    back = spark.read.schema(CHUNK).json(folder)
+    return back.select("id", "pos", "path", "kind", "priority", "community", F.md5("content").alias("digest"))
+
+
+@query
+def selection_requests(spark, sf):
+    """The active file is region 1: as a whole, and with a selection."""
+    active = table(spark, sf, "region").where("r_regionkey = 1").select(F.concat(F.lit("src/r"), "r_regionkey", F.lit(".ts")).alias("path"), F.col("r_name").alias("content"))
+    both = requests.selection_request(active, None).unionByName(requests.selection_request(active, "let x"))
+    return both.select("id", "path", "language", "content", "kind", "priority")
+
+
+@query
+def editor_languages(spark, sf):
+    names = ["typescriptreact", "javascriptreact", "jsonc", "rust", "python", "markdown", "go", "json"]
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("doc_id") % len(names) + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", files.editor_language(name).alias("language"))
+
+
+@query
+def path_list(spark, sf):
+    """Nation names as lines, padded, with blank ones between."""
+    names = [r.n_name for r in table(spark, sf, "nation").select("n_name").collect()]  # a fixed table of 25 rows
+    return files.path_list(spark, [x for n in names for x in (f"  {n}\t", " ")])
+
+
+@query
+def tree_scan(spark, sf):
+    """A file for each supplier, written, and read as a tree with ignore rules."""
+    root = _folder(spark, "tree")
+    table(spark, sf, "supplier").select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("dir")).write.partitionBy("dir").text(root)
+    got = files.scan(spark, root, ["# note", "dir=1*/", "!dir=11/", "_SUCCESS", "*.crc"], code_only=False)
+    return got.select(F.regexp_extract("path", "dir=([0-9]+)/", 1).cast("long").alias("key"), "language", F.md5("content").alias("digest"))
+
+
+@query
+def resolve_imports(spark, sf):
+    """Part k imports k + 1 in its folder, k + 2 through the folder above, and a folder's index."""
+    k = F.col("p_partkey")
+    part = table(spark, sf, "part").select(k)
+    specs = F.array(F.concat(F.lit("./p"), k + 1), F.concat(F.lit("../a/./p"), k + 2), F.concat(F.lit("../b/x"), k))
+    imports = part.select(F.concat(F.lit("a/p"), k, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), F.explode(specs).alias("spec"))
+    own = part.select(F.concat(F.lit("a/p"), k, F.when(k % 3 == 0, ".tsx").otherwise(".ts")).alias("path"))
+    index = part.where(k % 4 == 0).select(F.concat(F.lit("b/x"), k, F.lit("/index.ts")).alias("path"))
+    return files.resolve_imports(imports, own.unionByName(index))
+
+
+@query
+def usage_log(spark, sf):
+    """Usage rows with long queries, appended to a log and read back."""
+    folder = _folder(spark, "usage")
+    rows = views.usage(spark, sf).withColumn("ts", F.col("ts") + 1).withColumn("query", F.repeat("query", F.lit(40)))
+    if not usage_rows.append_usage(rows, folder):
+        raise RuntimeError("the usage log is switched off")
+    return usage_rows.read_usage(spark, folder).select("ts", "in_tokens", "out_tokens", "elapsed_ms", "query", "project")
+
+
+@query
+def skeleton_apply(spark, sf):
+    """Hinted modules, those of even size, become their skeleton where it is shorter."""
+    c = views.code_files(spark, sf).withColumn("skeleton_hint", F.regexp_extract("path", "m([0-9]+)", 1).cast("int") % 2 == 0)
+    return pipeline.apply_skeletons(c).select("path", F.md5("content").alias("digest"))
+
+
+@query
+def manifest_upsert(spark, sf):
+    part = table(spark, sf, "part")
+    row = lambda p, tag, at: p.select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.md5(F.concat(F.lit(tag), "p_partkey")).alias("sha256"), F.lit("python").alias("language"), F.lit(at).cast("long").alias("last_indexed"))
+    return store.upsert_files(row(part.where("p_partkey % 5 <> 0"), "a", 1), row(part.where("p_partkey % 7 <> 0"), "b", 2))
+
+
+@query
+def store_snapshot(spark, sf):
+    """The graph saved as a snapshot and opened again: rows by table and kind, and the sums of their ids."""
+    g = graph(spark, sf).save(_folder(spark, "graph"))
+    n = g.nodes.groupBy("kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    e = g.edges.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.col("src") + F.col("dst")).alias("ids"))
+    return n.withColumn("part", F.lit("node")).unionByName(e.withColumn("part", F.lit("edge"))).unionByName(g.files.select(F.lit("file").alias("kind"), F.count("*").over(Window.partitionBy()).alias("n"), F.lit(0).cast("long").alias("ids"), F.lit("file").alias("part")).limit(1))
+
+
+@query
+def point_lookups(spark, sf):
+    g = graph(spark, sf)
+    found = {"name": g.find("p7"), "qualified": g.by_qualified("n::3"), "file": g.in_file("r/1"), "id": g.by_id(5)}
+    out = None
+    for how, rows in found.items():
+        one = rows.select(F.lit(how).alias("how"), "id", "name")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---------------------------------------------------------------- usage and streams
 
 
@@ -504,4 +638,18 @@ def debounce_sessions(spark, sf):
     return watch.debounced(ev, "1 hour", keys=["user_id"]).select("user_id", F.unix_micros("start").alias("start"), F.array_join("paths", ",").alias("paths"))
 
 
+@query
+def watch_stream(spark, sf):
+    """The events as files of a stream: debounced bursts of ten minutes, written by a streaming query. An event long after
+    all others moves the watermark past them; its own burst stays open."""
+    folder = _folder(spark, "events")
+    ev = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat("event_type", F.when(F.col("event_id") % 3 == 0, "~").otherwise("")).alias("path"), F.lit("modify").alias("op"))
+    last = ev.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts")).select("ts", F.lit("end").alias("path"), F.lit("modify").alias("op"))
+    ev.unionByName(last).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(folder + "/in")
+    stream = watch.debounced(watch.read_events(spark, folder + "/in"), "10 minutes")
+    run = stream.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(folder + "/out").select(F.unix_micros("start").alias("start"), F.array_join("paths", ",").alias("paths"))
+
+
 ORACLES = oracles.ORACLES

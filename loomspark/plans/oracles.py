@@ -69,8 +69,8 @@ SELECT doc_id, md5(CASE language WHEN 'typescript' THEN regexp_replace(x, '(?m)^
 O["strip_post"] = f"WITH {NOISY} SELECT doc_id, md5({tidy('content')}) AS digest FROM n"
 O["display_format"] = """
 WITH u AS (SELECT event_id AS ts, (abs(value) * 100)::DOUBLE AS x, trunc(abs(value) * 100)::BIGINT * 37 AS n, (user_id % 50)::DOUBLE AS e, CASE WHEN user_id % 9 = 0 THEN '  ' ELSE event_type END AS q FROM events)
-SELECT ts, CASE WHEN n >= 1000000 THEN (n + 50000) // 1000000 || '.' || (n + 50000) // 100000 % 10 || 'M' WHEN n >= 1000 THEN (n + 50) // 1000 || '.' || (n + 50) // 100 % 10 || 'K' ELSE n::VARCHAR END AS size,
-  CASE WHEN e * 90 >= 1000 THEN (e * 90 + 50)::BIGINT // 1000 || '.' || (e * 90 + 50)::BIGINT // 100 % 10 || 's' ELSE format('{:.0f}ms', e * 90) END AS time,
+SELECT ts, CASE WHEN n >= 1000000 THEN format('{:.1f}M', n / 1e6::DOUBLE) WHEN n >= 1000 THEN format('{:.1f}K', n / 1e3::DOUBLE) ELSE n::VARCHAR END AS size,
+  CASE WHEN e * 90 >= 1000 THEN format('{:.1f}s', e * 90 / 1e3::DOUBLE) ELSE format('{:.0f}ms', e * 90) END AS time,
   CASE WHEN length(q) <= 5 THEN q ELSE substr(q, 1, 4) || '…' END AS short, repeat('█', round(e / 50 * 10)::INT) || repeat('░', 10 - round(e / 50 * 10)::INT) AS bar FROM u"""
 EXACT = f"{CHUNKS}, kept AS (SELECT min(pos) AS pos FROM chunks GROUP BY md5({norm('content')})), ex AS (SELECT chunks.* FROM chunks JOIN kept USING (pos))"
 O["exact_dedup"] = f"WITH {EXACT} SELECT pos FROM ex"
@@ -140,14 +140,14 @@ O["rank_priors"] = f"WITH {CHUNKS} SELECT pos, row_number() OVER (ORDER BY CASE
 RRF = f"{CORPUS}, rb AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS r FROM bm), rd AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS r FROM de)"
 O["rrf_rank"] = f"WITH {RRF} SELECT pos, round(1.5::DOUBLE / (60 + rb.r) + 0.7::DOUBLE / (60 + rd.r), 9) AS score FROM rb JOIN rd USING (pos)"
 BUMP = "(priority + CASE kind WHEN 'selection' THEN 5.0::DOUBLE WHEN 'diagnostic' THEN 2.0::DOUBLE WHEN 'doc' THEN -0.5::DOUBLE WHEN 'comment' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END) / 60.0::DOUBLE"
-O["rank_final"] = f"WITH {RRF}, fu AS (SELECT pos, round(CASE WHEN (SELECT max(score) FROM bm) > 0 THEN 1.5::DOUBLE / (60 + rb.r) ELSE 0 END + 0.7::DOUBLE / (60 + rd.r) + {BUMP}, 12) AS score FROM chunks JOIN rb USING (pos) JOIN rd USING (pos)), rk AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS rank, round(score, 9) AS score FROM fu) SELECT * FROM rk WHERE rank <= 20"
+O["rank_final"] = f"WITH {RRF}, fu AS (SELECT pos, round(CASE WHEN (SELECT max(score) FROM bm) > 0 THEN 1.5::DOUBLE / (60 + rb.r) ELSE 0 END + 0.7::DOUBLE / (60 + rd.r) + {BUMP}, 12) AS score FROM chunks JOIN rb USING (pos) JOIN rd USING (pos)), rk AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS rank, round(score, 9) AS score FROM fu) SELECT * FROM rk"
 O["rank_no_query"] = f"WITH {RRF}, fu AS (SELECT pos, round(1.5::DOUBLE / (60 + rd.r) + {BUMP}, 12) AS score FROM chunks JOIN rd USING (pos)) SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM fu"
 O["budget_greedy"] = f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT pos, {estimate('content')} AS cost, row_number() OVER (ORDER BY pos) AS k FROM chunks),
 g AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, -1::BIGINT AS pos, false AS kept UNION ALL
   SELECT c.k, used + CASE WHEN used + cost <= 4200 THEN cost ELSE 0 END, c.pos, used + cost <= 4200 FROM g JOIN c ON c.k = g.k + 1 WHERE used <= 4000)
 SELECT pos FROM g WHERE kept"""
 O["cache_order"] = f"WITH {CHUNKS} SELECT pos, row_number() OVER (ORDER BY {hash60('id')}, id, pos) AS place FROM chunks WHERE length(content) > 0"
-O["bundle"] = f"WITH {CHUNKS}, b AS (SELECT string_agg(CASE WHEN coalesce(path, '') <> '' THEN '// --- ' || path || ' (' || kind || ') ---' || chr(10) ELSE '// --- ' || id || ' ---' || chr(10) END || content, chr(10) || chr(10) ORDER BY pos) AS b FROM chunks WHERE pos < 50) SELECT md5(b) AS digest, length(b) AS chars FROM b"
+O["bundle"] = f"WITH {CHUNKS}, b AS (SELECT pos // 50 AS request_id, string_agg(CASE WHEN coalesce(path, '') <> '' THEN '// --- ' || path || ' (' || kind || ') ---' || chr(10) ELSE '// --- ' || id || ' ---' || chr(10) END || content, chr(10) || chr(10) ORDER BY pos) AS b FROM chunks GROUP BY pos // 50) SELECT request_id, md5(b) AS digest, length(b) AS chars FROM b"
 
 P, C, N, R = views.PART, views.CUSTOMER, views.NATION, views.REGION
 GRAPH = f"""nodes AS (SELECT s_suppkey AS id, 's' AS w, s_suppkey AS k FROM supplier UNION ALL SELECT p_partkey + {P}, 'p', p_partkey FROM part UNION ALL SELECT c_custkey + {C}, 'c', c_custkey FROM customer UNION ALL SELECT n_nationkey + {N}, 'n', n_nationkey FROM nation UNION ALL SELECT r_regionkey + {R}, 'r', r_regionkey FROM region),
@@ -219,3 +219,26 @@ O["event_filter"] = r"SELECT page_id, NOT regexp_matches(replace(url, '/en/', '/
 O["debounce_sessions"] = """WITH e AS (SELECT user_id, ts, event_type AS path, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e)
 SELECT user_id, epoch_us(min(ts)) AS start, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (WHERE event_id % 3 <> 0) AS paths FROM s GROUP BY user_id, n HAVING count(*) FILTER (WHERE event_id % 3 <> 0) > 0"""
+
+# sources and sinks, read back
+O["pagerank_joins"], O["weighted_walk_joins"] = O["pagerank"], O["weighted_walk"]
+O["request_files"] = f"WITH {CHUNKS} SELECT id, row_number() OVER (PARTITION BY pos // 50 ORDER BY pos) - 1 AS pos, 'q' || pos // 50 AS query, path, 'markdown' AS language, kind, priority, pos % 2 = 0 AS skeleton_hint, md5(content) AS digest FROM chunks"
+O["result_lines"] = f"WITH {CHUNKS} SELECT id, pos, path, kind, priority, (pos % 7)::INT AS community, md5(content) AS digest FROM chunks"
+O["selection_requests"] = "SELECT 'selection:src/r1.ts' AS id, 'src/r1.ts' AS path, 'typescript' AS language, unnest([r_name, 'let x']) AS content, 'selection' AS kind, 10 AS priority FROM region WHERE r_regionkey = 1"
+O["editor_languages"] = "SELECT doc_id, ['typescript', 'javascript', 'json', 'rust', 'python', 'markdown', 'unknown', 'json'][doc_id % 8 + 1] AS language FROM documents"
+O["path_list"] = "SELECT n_name AS path FROM nation"
+O["tree_scan"] = "SELECT s_suppkey AS key, 'unknown' AS language, md5(s_name || chr(10)) AS digest FROM supplier WHERE NOT prefix(s_suppkey::VARCHAR, '1') OR s_suppkey = 11"
+O["resolve_imports"] = """WITH p AS (SELECT p_partkey AS k FROM part), i AS (SELECT k, k + d AS t, CASE d WHEN 1 THEN './p' ELSE '../a/./p' END || (k + d) AS spec FROM p, (VALUES (1), (2)) v(d))
+SELECT 'a/p' || i.k || '.ts' AS path, spec, 'a/p' || t || CASE WHEN t % 3 = 0 THEN '.tsx' ELSE '.ts' END AS target FROM i JOIN p ON p.k = i.t
+UNION ALL SELECT 'a/p' || k || '.ts', '../b/x' || k, 'b/x' || k || '/index.ts' FROM p WHERE k % 4 = 0"""
+O["usage_log"] = "SELECT event_id + 1 AS ts, trunc(abs(value) * 100)::BIGINT AS in_tokens, trunc(abs(value) * 40)::BIGINT AS out_tokens, (user_id % 50)::DOUBLE AS elapsed_ms, left(repeat(CASE WHEN user_id % 9 = 0 THEN '  ' ELSE event_type END, 40), 200) AS query, CASE WHEN user_id % 4 = 0 THEN NULL ELSE 'p' || user_id % 3 END AS project FROM events"
+O["skeleton_apply"] = f"""WITH sk AS ({O["skeleton"]}), {CODE}, t AS (SELECT path, p_size, 'import os' || chr(10) || 'from pkg import m' || p_size % 7 || repeat(chr(10), 3) || 'class Base' || p_size || ':' || chr(10) || '    def run(self):' || chr(10) || '        # note' || chr(10)
+  || '        return f' || p_size * 10 % 97 || '(self)' || repeat(chr(10), 3) || (SELECT string_agg('def f' || p || '(x):' || chr(10) || '    print("# x")' || chr(10) || '    return f' || (p + 1) || '(x)  # call' || chr(10), chr(10) || chr(10) ORDER BY i) FROM f WHERE f.p_size = m.p_size) AS content FROM m)
+SELECT path, CASE WHEN p_size % 2 = 0 THEN sk.digest ELSE md5(content) END AS digest FROM t JOIN sk USING (path)"""
+O["manifest_upsert"] = "SELECT 'p' || p_partkey AS path, md5(CASE WHEN p_partkey % 7 <> 0 THEN 'b' ELSE 'a' END || p_partkey) AS sha256, 'python' AS language, CASE WHEN p_partkey % 7 <> 0 THEN 2 ELSE 1 END::BIGINT AS last_indexed FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 7 <> 0"
+O["store_snapshot"] = f"""WITH {GRAPH} SELECT CASE w WHEN 's' THEN 'function' WHEN 'p' THEN 'function' WHEN 'c' THEN 'method' WHEN 'n' THEN 'class' ELSE 'import' END AS kind, count(*) AS n, sum(id)::BIGINT AS ids, 'node' AS part FROM nodes GROUP BY 1
+UNION ALL SELECT kind, count(*), sum(src + dst)::BIGINT, 'edge' FROM edges GROUP BY kind UNION ALL SELECT 'file', count(DISTINCT w || '/' || k % 10), 0, 'file' FROM nodes"""
+O["point_lookups"] = f"""WITH {GRAPH} SELECT 'name' AS how, id, w || k AS name FROM nodes WHERE w = 'p' AND k = 7 UNION ALL SELECT 'qualified', id, w || k FROM nodes WHERE w = 'n' AND k = 3
+UNION ALL SELECT 'file', id, w || k FROM nodes WHERE w = 'r' AND k % 10 = 1 UNION ALL SELECT 'id', id, w || k FROM nodes WHERE id = 5"""
+O["watch_stream"] = """WITH e AS (SELECT ts, event_type AS path, event_id, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (ORDER BY ts) AS n FROM e)
+SELECT epoch_us(min(ts)) AS start, string_agg(DISTINCT path, ',' ORDER BY path) FILTER (WHERE event_id % 3 <> 0) AS paths FROM s GROUP BY n HAVING count(*) FILTER (WHERE event_id % 3 <> 0) > 0"""

@@ -57,11 +57,11 @@ def write_results(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("errorifexists").json(path)
 
 
-def bundle(chunks: DataFrame, order: str = "pos") -> DataFrame:
-    """One row (bundle): chunks of a request under headers, with a blank line between."""
+def bundle(chunks: DataFrame, order: str = "pos", by: list[str] = ()) -> DataFrame:
+    """One row (bundle), or one a group of `by`: chunks of a request under headers, with a blank line between."""
     head = F.when(F.coalesce("path", F.lit("")) != "", F.concat(F.lit("// --- "), F.col("path"), F.lit(" ("), F.col("kind"), F.lit(") ---\n"))).otherwise(F.concat(F.lit("// --- "), F.col("id"), F.lit(" ---\n")))
     parts = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(head, "content").alias("t")))), lambda x: x["t"])
-    return chunks.agg(F.array_join(parts, "\n\n").alias("bundle"))
+    return chunks.groupBy(*by).agg(F.array_join(parts, "\n\n").alias("bundle"))
 
 
 def selection_request(active: DataFrame, selection: str | None) -> DataFrame:
