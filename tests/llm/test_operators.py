@@ -432,3 +432,137 @@ def test_pipeline_stages(spark, sf_dir, odd):
         if name == "SimHash near-dedup":
             assert ids.count(1) == 1 and 2 not in ids
         docs = spark.createDataFrame(got.collect(), got.schema)
+
+
+# ---------------------------------------------------------------- clashing names, repeated ids, splits
+
+NAMES = "_t1 _t2 _text _text_in _h _at _part _p _s _u _keep _n _pos _whole _x _w _copy _media d t h v k lo end all pos whole rate first base words row shared fp alone copy".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(odd):
+    named = {c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in NAMES}
+    return odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns(named).cache()
+
+
+def extras(df):
+    return collections.Counter((r.doc_id, *(r[c] for c in NAMES)) for r in df.collect())
+
+
+def test_clashing_names_come_back(spark, clashing):
+    want = extras(clashing)
+    model = langid.LanguageModel(["en"], np.zeros((langid.BUCKETS, 1), np.float32))
+    pages = clashing.withColumnRenamed("text", "url").withColumn("page_id", F.col("doc_id"))
+    stored = media.store_texts(clashing)
+    for got in (suffix_dedup.remove_repeats(clashing), stored, media.read_digests(stored), media.decode_images(stored), langid.identify(clashing, model), mixing.mix(clashing), paragraph_dedup.dedup_paragraphs(clashing),
+                quality.assess(clashing), url_reputation.judge(pages, pages.select("page_id", F.lit(1).alias("bad")).distinct())):
+        assert extras(got) == want
+    for got in (simhash_mih.simhash_dedup(clashing), mixing.mixed_documents(clashing.withColumn("size", F.lit("x")))):
+        assert set(extras(got)) <= set(want) and set(clashing.columns) <= set(got.columns)
+    assert packing.pack_documents(clashing).count() == packing.pack_documents(clashing.select("doc_id", "text")).count()
+
+
+def test_repeated_ids_with_different_texts(spark, sf_dir):
+    import corpus_pipeline
+
+    shared, long = prose(31, 90), prose(32, 700)
+    rows = [(1, prose(33, 40) + " " + shared), (2, "short"), (2, long), (2, prose(34, 30) + " " + shared), (2, prose(34, 30) + " " + shared), (3, None), (3, prose(35, 300))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    got = collections.Counter((r.doc_id, r.n_removed, r.text) for r in paragraph_dedup.dedup_paragraphs(d).collect())
+    assert got[2, 0, long] == got[2, 0, "short"] == got[3, 0, None] == got[3, 0, rows[6][1]] == 1 and got[2, 90, prose(34, 30) + " "] == 2 and got[1, 0, rows[0][1]] == 1
+    kept = collections.Counter((r.doc_id, r.text) for r in simhash_mih.simhash_dedup(d).collect())
+    assert kept == collections.Counter(set(rows))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, d, sf_dir).count() > 0
+
+
+def test_long_bands_are_split(spark):
+    rng = np.random.default_rng(4)
+    base = [rng.choice(400, 30, replace=False) for _ in range(3)]
+    sets = {i: np.unique(np.where(rng.random(30) < 0.12, rng.integers(400, 900, 30), base[i % 3])) for i in range(60)}
+    shared = spark.createDataFrame([(k, i) for k in (1, 2) for i in sets if i % 2 or k == 1], "key long, unit long")
+    table = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in sets.items()], "unit long, shingles array<long>")
+
+    def classes(links):
+        label = dict(zip(sets, sets))
+        for a, b in links:
+            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+        return {frozenset(k for k in sets if label[k] == v) for v in label.values()}
+
+    brute = [(a, b) for a in sets for b in sets if a < b and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9]
+    assert 3 <= len(classes(brute)) < 60
+    for block in (1000, 7):
+        assert classes([(r.src, r.dst) for r in paragraph_dedup.similar_links(shared, table, 0.8, block).collect()]) == classes(brute)
+
+
+def test_crowded_halves_are_split(spark):
+    rng = np.random.default_rng(6)
+    fps = {int(x) for x in rng.integers(0, 1 << 12, 300)} | {int(x) << 32 | 7 for x in rng.integers(0, 1 << 12, 300)}
+    prints = spark.createDataFrame([(i, fp) for i, fp in enumerate(sorted(fps))], "doc_id long, fp long")
+    whole, split = ({(r.fp, r.component_id) for r in simhash_mih.near_classes(prints, 2, hot).collect()} for hot in (10_000, 8))
+    assert whole == split and len(whole) > 100
+
+
+def test_passage_recall_on_a_table(spark, docs):
+    """Of all words that 20 words repeat of from an earlier place, at least 0.9 go (all but few, in fact)."""
+    keyed, d, t = paragraph_dedup.keys_of(docs[0])
+    got = {r.d: paragraph_dedup.removed_runs(r.pos, r.n, r.whole) for r in paragraph_dedup.marks(keyed, d, t).collect()}
+    seen, want, found = set(), 0, 0
+    for doc, text in sorted(docs[1].items()):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(bytes(paragraph_dedup.LOWER)))
+        again = np.zeros(len(w) + 1, int)
+        for i in range(len(w) - 19):
+            key = tuple(w[i : i + 20])
+            if key in seen:
+                again[i] += 1
+                again[i + 20 if i + 20 < len(again) else -1] -= 1
+            seen.add(key)
+        covered = np.cumsum(again)[: len(w)] > 0
+        gone = np.zeros(len(w), bool)
+        for a, b in got.get(doc, []):
+            gone[a:b] = True
+        want, found = want + int(covered.sum()), found + int((covered & gone).sum())
+    print("recall", found, want)
+    assert want > 1000 and found >= 0.9 * want
+
+
+def test_known_lossless_webp():
+    """The one-pixel file by which browsers are commonly asked whether they read lossless WebP: another encoder's work."""
+    import base64
+
+    px = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert px.shape == (1, 1)
+
+
+def test_em_and_scores(spark):
+    rng = np.random.default_rng(1)
+    ll = rng.random((12, 3))
+    counts, at = np.array([5, 7]), np.array([0, 5])
+    got, _ = langid._em(ll, None, at, counts, 8)
+    for k, (a, n) in enumerate(zip(at, counts)):
+        pi = [1 / 3] * 3
+        for _ in range(8):
+            share = [[pi[j] * ll[i, j] / sum(pi[x] * ll[i, x] for x in range(3)) for j in range(3)] for i in range(a, a + n)]
+            pi = [sum(s[j] for s in share) / n for j in range(3)]
+        assert got[k] == pytest.approx(pi)
+    labelled = spark.createDataFrame([("en", "the house and the garden " * 20), ("de", "das haus und der garten " * 20)], "lang string, text string")
+    model = langid.train(labelled)
+    texts = [(1, "\U00020000\U00020001"), (2, "the garden and the house"), (3, "12 　"), (4, "zzz"), (5, "the house and the garden the house und der garten das haus der garten")]
+    rows = {r.doc_id: r for r in langid.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert rows[1].lang_pred != "und" and rows[1].score == pytest.approx(0.5) and rows[4].score == pytest.approx(0.5) and rows[3].lang_pred == "und"
+    assert rows[2].lang_pred == "en" and rows[2].score > 0.9 and 0 < rows[5].score < 0.9
+
+
+def test_hosts_without_registries():
+    from loomspark.llm.url_reputation import ADDRESS, LONG_SUFFIX
+
+    assert re.search(LONG_SUFFIX, "a.co.uk") and re.search(LONG_SUFFIX, "co.uk") and not re.search(LONG_SUFFIX, "co.io.com") and not re.search(LONG_SUFFIX, "taco.uk")
+    assert re.search(ADDRESS, "10.0.0.1") and re.search(ADDRESS, "[::1]") and not re.search(ADDRESS, "1.example.org")
+
+
+def test_units_whose_first_hashes_agree():
+    table = packing.UnitTable()
+    h, twin = np.array([5, 5, 9], np.uint64), np.array([1, 2, 3], np.uint64)
+    table.add(h[[0, 2]], twin[[0, 2]], [b"\1\0\0\0", b"\2\0\0\0"])
+    table.add(h[[1]], twin[[1]], [b"\3\0\0\0"])
+    assert [int(table.pool[table.begin[e]]) for e in table.find(h, twin)] == [1, 3, 2] and table.find(h[:1], twin[2:])[0] == -1
