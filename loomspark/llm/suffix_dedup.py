@@ -35,8 +35,8 @@ from loomspark.llm.common import U64, Rolling, bitmap, free, hit_rows, in_bitmap
 from loomspark.llm.runlength_index import RunLengthIndex
 
 LENGTH, K = 400, 128
-SHARD_BYTES = 1 << 19
-HOT = 1000
+SHARD_BYTES = 1 << 18
+HOT = 500
 CELLS = 8
 STEP = 1 << 19
 BITS = 24
