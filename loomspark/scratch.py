@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: A side is broadcast only if it has at most this many rows.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch where the session leaves Spark's own 64 MB: executor and worker hold several batches and copies.
+ARROW_BYTES, ARROW_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the session was started from."""
+    """Lets Python workers import this package wherever the session was started from, and keeps Arrow batches small."""
+    if spark.conf.get(ARROW_KEY, None) == "67108864b":
+        spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
