@@ -15,7 +15,7 @@ __all__ = ["materialize", "ready"]
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step looks at; bounds the memory of the numpy temporaries.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ BUCKETS = 1 << 15
 PRIOR = 0.5
 EM_ROUNDS = 8
 #: Words of one text that one step holds; longer texts run alone.
-STEP = 1 << 19
+STEP = 1 << 18
 UNKNOWN = "und"
 #: Languages that training takes at most; more labels than that are no languages, and their counts would fill the driver.
 MOST_LANGUAGES = 1000

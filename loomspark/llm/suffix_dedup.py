@@ -38,7 +38,7 @@ LENGTH, K = 400, 128
 SHARD_BYTES = 1 << 18
 HOT = 500
 CELLS = 8
-STEP = 1 << 19
+STEP = 1 << 18
 BITS = 24
 
 
