@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -56,13 +57,27 @@ def text_buffers(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, off - off[0], valid
 
 
+def _trim():
+    """What gives freed memory back to the system, where the C library has such a call."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda keep: 0
+
+
+TRIM = _trim()
+
+
 def steps(off: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have about `most` bytes together; a longer text stands alone."""
+    """Row ranges whose texts have about `most` bytes together; a longer text stands alone. After the last one the
+    worker's freed memory goes back to the system: workers live on, and an executor has several."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    pa.default_memory_pool().release_unused()
+    TRIM(0)
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
