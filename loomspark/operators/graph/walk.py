@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.scratch import LOCAL_EDGES, local_arrays, materialize
+from loomspark.scratch import local_arrays, materialize
 
 DAMPING, RESTART, ROUNDS, TOLERANCE = 0.85, 0.5, 50, 1e-6
 TOP_RWR = 1024
@@ -30,16 +30,16 @@ def _power_arrays(spark, links, teleport, keep: float, rounds: int, tolerance: f
     return spark.createDataFrame(pa.table({"id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.float64())}))
 
 
-def _power(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, keep: float, rounds: int, tolerance: float | None, local: int = LOCAL_EDGES) -> DataFrame:
+def _power(nodes: DataFrame, edges: DataFrame, teleport: DataFrame, keep: float, rounds: int, tolerance: float | None, arrays: bool = True) -> DataFrame:
     """(id, score): score = keep * (walks in + dangling mass * v) + (1 - keep) * v until the L1 change is below tolerance.
 
     teleport (id, v) holds every node; a round joins ranks to out-edges, sums per target and is written once, with the
-    round's change and dangling mass summed from it. Graphs of at most `local` edges and nodes are iterated over as arrays, to
-    the same scores."""
+    round's change and dangling mass summed from it. With `arrays`, graphs below scratch.LOCAL_EDGES are iterated over as arrays,
+    to the same scores."""
     known = nodes.select("id").distinct()
     links = edges.select("src", "dst").join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     links = materialize(links, "links")
-    small = local_arrays(links, local), local_arrays(teleport.select("id", "v"), local)
+    small = (local_arrays(links), local_arrays(teleport.select("id", "v"))) if arrays else (None, None)
     if small[0] is not None and small[1] is not None:
         return _power_arrays(links.sparkSession, *small, keep, rounds, tolerance)
     out = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out"))
@@ -74,24 +74,24 @@ def _seeded(nodes: DataFrame, seeds: DataFrame, distinct: bool) -> DataFrame:
     return known.join(mine.distinct().withColumn("_s", F.lit(1.0 / n)), "id", "left").select("id", F.coalesce("_s", F.lit(0.0)).alias("v"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, local: int = LOCAL_EDGES) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, arrays: bool = True) -> DataFrame:
     """(id, score) over edges of all kinds; parallel edges of different kinds count apart. seeds personalise it."""
     v = uniform(nodes) if seeds is None else _seeded(nodes, seeds, True)
-    return _power(nodes, edges, v, damping, rounds, tolerance, local)
+    return _power(nodes, edges, v, damping, rounds, tolerance, arrays)
 
 
-def random_walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = RESTART, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, local: int = LOCAL_EDGES) -> DataFrame:
+def random_walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = RESTART, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, arrays: bool = True) -> DataFrame:
     """(id, score) of a walk from the seeds that goes on with probability alpha."""
-    return _power(nodes, edges, _seeded(nodes, seeds, False), alpha, rounds, tolerance, local)
+    return _power(nodes, edges, _seeded(nodes, seeds, False), alpha, rounds, tolerance, arrays)
 
 
-def weighted_walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = RESTART, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, local: int = LOCAL_EDGES) -> DataFrame:
+def weighted_walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = RESTART, rounds: int = ROUNDS, tolerance: float | None = TOLERANCE, arrays: bool = True) -> DataFrame:
     """The same from weighted seeds (id, weight), whose weights are normalised."""
     known = nodes.select("id").distinct()
     w = materialize(seeds.join(known, "id", "left_semi").groupBy("id").agg(F.sum("weight").alias("w")), "seeds")
     total = w.agg(F.sum("w")).first()[0] or 0.0
     v = uniform(nodes) if total <= 0 else known.join(w, "id", "left").select("id", (F.coalesce("w", F.lit(0.0)) / F.lit(total)).alias("v"))
-    return _power(nodes, edges, v, alpha, rounds, tolerance, local)
+    return _power(nodes, edges, v, alpha, rounds, tolerance, arrays)
 
 
 def top(scores: DataFrame, k: int, pool: DataFrame | None = None) -> DataFrame:

@@ -377,14 +377,14 @@ def weighted_walk(spark, sf):
 def pagerank_joins(spark, sf):
     """By the joins that larger graphs take."""
     g = graph(spark, sf)
-    return walk.pagerank(g.nodes, g.edges, rounds=ROUNDS, tolerance=None, local=0).select("id", F.round("score", 9).alias("score"))
+    return walk.pagerank(g.nodes, g.edges, rounds=ROUNDS, tolerance=None, arrays=False).select("id", F.round("score", 9).alias("score"))
 
 
 @query
 def weighted_walk_joins(spark, sf):
     g = graph(spark, sf)
     seeds = _roots(spark, sf).select("id", (F.col("id") % 7 + 1).cast("double").alias("weight"))
-    return walk.weighted_walk(g.nodes, g.edges, seeds, rounds=ROUNDS, tolerance=None, local=0).select("id", F.round("score", 9).alias("score"))
+    return walk.weighted_walk(g.nodes, g.edges, seeds, rounds=ROUNDS, tolerance=None, arrays=False).select("id", F.round("score", 9).alias("score"))
 
 
 @query
