@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -30,9 +30,8 @@ def by_query(usage: DataFrame, top: int | None = None, bar_width: int = 20) -> D
     """(query, runs, saved_tokens, in_tokens, elapsed_ms, pct, bar): groups by trimmed query, most saved first."""
     q = F.trim(F.coalesce("query", F.lit("")))
     g = usage.groupBy(F.when(q == "", NO_QUERY).otherwise(q).alias("query")).agg(F.count("*").alias("runs"), F.sum("saved_tokens").alias("saved_tokens"), F.sum("in_tokens").alias("in_tokens"), F.sum("elapsed_ms").alias("elapsed_ms"))
-    g = g.orderBy(F.desc("saved_tokens"), "query")
-    g = g if top is None else g.limit(top)
-    most = F.max("saved_tokens").over(Window.partitionBy(F.lit(1)))  # a report: one row a query
+    g = g if top is None else g.orderBy(F.desc("saved_tokens"), "query").limit(top)
+    most = g.select(F.max("saved_tokens")).scalar()  # one value, aggregated in parts; a window would hold all queries in one task
     return g.withColumn("pct", _percent(F.col("saved_tokens"), F.col("in_tokens"))).withColumn("bar", T.bar(F.when(most > 0, F.col("saved_tokens") / most).otherwise(0.0), bar_width)).orderBy(F.desc("saved_tokens"), "query")
 
 

@@ -254,6 +254,15 @@ def rank_final(spark, sf):
     return got.select("pos", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
+@query
+def rank_feedback(spark, sf):
+    """With feedback terms in the query and priors for every third chunk."""
+    c = chunks(spark, sf)
+    prior = c.where("pos % 3 = 0").select("id", (F.col("pos") % 10 / 10).alias("prior"))
+    got = ranking.rank(c, QUERY, prior, feedback=True)
+    return got.select("pos", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+
+
 @query
 def rank_no_query(spark, sf):
     got = ranking.rank(chunks(spark, sf), "the of and")
@@ -410,7 +419,7 @@ def modularity(spark, sf):
 @query
 def bridges(spark, sf):
     g = graph(spark, sf)
-    return betweenness.betweenness(g.nodes, g.edges, 5).select("id", F.round("score", 6).alias("score"))
+    return betweenness.betweenness(g.nodes, g.edges).select("id", F.round("score", 6).alias("score"))
 
 
 @query

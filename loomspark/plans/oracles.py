@@ -141,6 +141,12 @@ RRF = f"{CORPUS}, rb AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos
 O["rrf_rank"] = f"WITH {RRF} SELECT pos, round(1.5::DOUBLE / (60 + rb.r) + 0.7::DOUBLE / (60 + rd.r), 9) AS score FROM rb JOIN rd USING (pos)"
 BUMP = "(priority + CASE kind WHEN 'selection' THEN 5.0::DOUBLE WHEN 'diagnostic' THEN 2.0::DOUBLE WHEN 'doc' THEN -0.5::DOUBLE WHEN 'comment' THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END) / 60.0::DOUBLE"
 O["rank_final"] = f"WITH {RRF}, fu AS (SELECT pos, round(CASE WHEN (SELECT max(score) FROM bm) > 0 THEN 1.5::DOUBLE / (60 + rb.r) ELSE 0 END + 0.7::DOUBLE / (60 + rd.r) + {BUMP}, 12) AS score FROM chunks JOIN rb USING (pos) JOIN rd USING (pos)), rk AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS rank, round(score, 9) AS score FROM fu) SELECT * FROM rk"
+O["rank_feedback"] = f"""WITH {RM3}, q2 AS (SELECT t, times * CASE WHEN EXISTS (SELECT 1 FROM top) THEN 10 ELSE 1 END AS times FROM q UNION ALL SELECT t, 4 FROM ft),
+bs2 AS (SELECT pos, sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avgdl, 1)))) AS s FROM tf JOIN q2 USING (t) JOIN df USING (t) JOIN dl USING (pos), ct GROUP BY pos),
+bm2 AS (SELECT pos, round(coalesce(s, 0.0::DOUBLE), 12) AS score FROM chunks LEFT JOIN bs2 USING (pos)), rb AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS r FROM bm2), rd AS (SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS r FROM de),
+rp AS (SELECT pos, row_number() OVER (ORDER BY CASE WHEN pos % 3 = 0 THEN pos % 10 / 10.0::DOUBLE ELSE 0.0::DOUBLE END DESC, pos) AS r FROM chunks),
+fu AS (SELECT pos, round(CASE WHEN (SELECT max(score) FROM bm2) > 0 THEN 1.5::DOUBLE / (60 + rb.r) ELSE 0 END + 0.7::DOUBLE / (60 + rd.r) + 1.0::DOUBLE / (60 + rp.r) + {BUMP}, 12) AS score FROM chunks JOIN rb USING (pos) JOIN rd USING (pos) JOIN rp USING (pos))
+SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS rank, round(score, 9) AS score FROM fu"""
 O["rank_no_query"] = f"WITH {RRF}, fu AS (SELECT pos, round(1.5::DOUBLE / (60 + rd.r) + {BUMP}, 12) AS score FROM chunks JOIN rd USING (pos)) SELECT pos, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM fu"
 O["budget_greedy"] = f"""WITH RECURSIVE {CHUNKS}, c AS (SELECT pos, {estimate('content')} AS cost, row_number() OVER (ORDER BY pos) AS k FROM chunks),
 g AS (SELECT 0::BIGINT AS k, 0::BIGINT AS used, -1::BIGINT AS pos, false AS kept UNION ALL

@@ -5,7 +5,7 @@ import pytest
 
 from loomspark.plans import catalog
 
-FAST = ["tokenize", "lines_shingles", "strip_regex", "exact_dedup", "simhash_pairs", "boilerplate_collapse", "rank_final", "rm3_query", "budget_greedy", "impact_bfs", "personalized_pagerank", "build_edges", "manifest_diff", "upsert_nodes", "usage_by_query", "debounce_sessions",
+FAST = ["tokenize", "lines_shingles", "strip_regex", "exact_dedup", "simhash_pairs", "boilerplate_collapse", "rank_final", "rank_feedback", "rm3_query", "budget_greedy", "impact_bfs", "personalized_pagerank", "build_edges", "manifest_diff", "upsert_nodes", "usage_by_query", "debounce_sessions",
         "display_format", "bundle", "request_files", "selection_requests", "tree_scan", "resolve_imports", "usage_log", "skeleton_apply", "store_snapshot", "point_lookups", "watch_stream", "pagerank_joins"]
 
 
