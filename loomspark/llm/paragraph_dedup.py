@@ -22,10 +22,11 @@ A text is held whole, with some ten words of eight bytes for each of its words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.llm.common import LOWER, U64, Rolling, _powers, bitmap, free, hit_rows, in_bitmap, materialize, mix, ready, spread, steps, text_buffers, words
@@ -40,6 +41,8 @@ REACH = WINDOW - 1
 SEED_ROWS = 2
 #: Paragraphs of one band key that are compared in one task.
 BLOCK = 256
+#: The most that a partition of the built side of a hashed join may have; not below AQE's advisory size, or it is unused.
+HASHED_MB, HASHED_KEY = 64, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
 #: Stands for a missing doc_id.
 LAST = (1 << 63) - 1
 
@@ -126,6 +129,14 @@ def _scan(batches, emit):
                 yield got
 
 
+def _leads(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which windows, given in order of place, are the first of their hash in their text."""
+    order = np.lexsort((h, doc))
+    first = np.ones(len(h), bool)
+    first[order[1:]] = (doc[order][1:] != doc[order][:-1]) | (h[order][1:] != h[order][:-1])
+    return first
+
+
 def _passage_rows(wanted=None, near=False):
     def emit(u: Units, ids, texts):
         i, j = u.windows()
@@ -138,6 +149,9 @@ def _passage_rows(wanted=None, near=False):
         doc = u.doc(i)
         cols = [pa.array(x) for x in (h.view(np.int64), ids[doc], texts[doc], (i - u.first[doc]).astype(np.int32), (j - i).astype(np.int32))]
         names = ["h", "d", "t", "pos", "n"]
+        if wanted is not None:
+            cols.append(pa.array(_leads(doc, h)))
+            names.append("lead")
         if near:
             room, sides = u.around(i, j)
             off = pa.py_buffer((np.arange(len(i) + 1) * sides.shape[1] * 4).astype(np.int32))
@@ -368,24 +382,30 @@ def repeated_passages(texts: DataFrame) -> DataFrame:
     differ."""
     schema = "h long, d long, t long, pos int, n int"
     share = texts.sparkSession.sparkContext.broadcast
-    counts = texts.mapInArrow(_passage_rows(), schema).groupBy("h").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "pos")).alias("at")).where("times > 1")
-    counts = materialize(counts.drop("times"), "passages")
-    rows = texts.mapInArrow(_passage_rows(share(bitmap(counts, "h", BITS))), schema).join(counts, "h")
-    rows = materialize(rows.where(F.struct("d", "t", "pos") != F.col("at")).select("h", *PLACE), "repeats")
+    # texts that share an id are rare; where none does, the least place needs numbers only and no sorted aggregate
+    plain = is_empty(texts.where("t <> 0"))
+    place = [F.min("d").alias("d0"), F.lit(0).cast("long").alias("t0")] if plain else [F.min(F.struct("d", "t")).alias("at")]
+    counts = texts.mapInArrow(_passage_rows(), schema).groupBy("h").agg(F.count("*").alias("times"), *place).where("times > 1")
+    counts = materialize(counts.select("h", *(["d0", "t0"] if plain else [F.col("at.d").alias("d0"), F.col("at.t").alias("t0")])), "passages")
+    leading = F.col("lead") & (F.col("d") == F.col("d0")) & (F.col("t") == F.col("t0"))
+    rows = texts.mapInArrow(_passage_rows(share(bitmap(counts, "h", BITS))), f"{schema}, lead boolean").join(counts, "h")
+    rows = materialize(rows.where(~leading).select("h", *PLACE), "repeats")
     edges = rows.repartition("d", "t").sortWithinPartitions("d", "t", "pos").mapInArrow(_edges, "h long")
     edges = materialize(edges.distinct().join(counts, "h"), "edges")
-    near = materialize(texts.mapInArrow(_passage_rows(share(bitmap(edges, "h", BITS)), True), f"{schema}, room int, near binary").join(edges, "h"), "near")
-    later = F.struct("d", "t", "pos") != F.col("at")
-    first = near.where(~later).groupBy("h").agg(F.min(F.struct("pos", "room", "near")).alias("f")).select("h", F.col("f.pos").alias("first_pos"), F.col("f.room").alias("first_room"), F.col("f.near").alias("first_near"))
-    near = near.where(later).drop("at")
-    found = near.join(materialize(first, "firsts"), "h")
+    near = materialize(texts.mapInArrow(_passage_rows(share(bitmap(edges, "h", BITS)), True), f"{schema}, lead boolean, room int, near binary").join(edges, "h"), "near")
+    first = near.where(leading).select("h", F.col("pos").alias("first_pos"), F.col("room").alias("first_room"), F.col("near").alias("first_near"))
+    first = materialize(first, "firsts")
+    if first.count() > edges.count():  # rows equal in id and text have the same first places
+        first = materialize(first.dropDuplicates(["h"]), "firsts")
+    near = near.where(~leading).drop("lead", "d0", "t0")
+    found = near.join(first, "h")
     found = materialize(found.mapInArrow(_extended, "key long, d long, t long, at int, pos int, n int, side int, more int, h long"), "extended")
-    least = lambda x: materialize(x.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("d", "t", "at")).alias("least")).where("times > 1").select("key", "least"), "beyond")
+    twice = lambda x, *more: materialize(x.groupBy("key").agg(F.count("*").alias("times"), *more).where("times > 1").drop("times"), "beyond")
     beyond = found.where("key is not null")
-    beyond = beyond.join(least(beyond).select("key"), "key").select("h", "d", "t", "at", "n", "side", "more").distinct()
+    beyond = beyond.join(twice(beyond), "key").select("h", "d", "t", "at", "n", "side", "more").distinct()
     near = near.select("h", "d", "t", F.col("pos").alias("at"), "n", "room", "near")
     longer = materialize(near.join(beyond, ["h", "d", "t", "at", "n"]).mapInArrow(_longer, "key long, d long, t long, at int, pos int, n int"), "longer")
-    longer = longer.join(least(longer), "key").where(F.struct("d", "t", "at") != F.col("least")).groupBy("d", "t", "at").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("end"))
+    longer = longer.join(twice(longer, F.min(F.struct("d", "t", "at")).alias("least")), "key").where(F.struct("d", "t", "at") != F.col("least")).groupBy("d", "t", "at").agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("n")).alias("end"))
     return rows.select(*PLACE).unionByName(found.where("key is null").select(*PLACE)).unionByName(longer.select("d", "t", "pos", (F.col("end") - F.col("pos")).alias("n")))
 
 
@@ -483,13 +503,26 @@ def keys_of(docs: DataFrame) -> tuple[DataFrame, str, str]:
     return found.withColumn(t, F.when(F.col(other), F.col(t)).otherwise(F.lit(0))).select(*[F.col(f"`{c}`") for c in keyed.columns]), d, t
 
 
+@contextmanager
+def hashed_joins(spark: SparkSession):
+    """Jobs run inside join by hash instead of by sorting, where AQE sees that no partition of the built side is over
+    HASHED_MB as shuffled; larger ones are sorted as before."""
+    before = spark.conf.get(HASHED_KEY)
+    spark.conf.set(HASHED_KEY, f"{HASHED_MB}m")
+    try:
+        yield
+    finally:
+        spark.conf.set(HASHED_KEY, before)
+
+
 def marks(docs: DataFrame, d: str, t: str, threshold: float = THRESHOLD) -> DataFrame:
     """(d, t, pos, n, whole): for each document that loses words, arrays of its repeated units; d, t: from keys_of."""
     texts = docs.where("text is not null").select(F.col(d).alias("d"), F.col(t).alias("t"), F.col("text").cast("string").alias("text"))
-    both = similar_paragraphs(texts, threshold).withColumn("whole", F.lit(True)).unionByName(repeated_passages(texts).withColumn("whole", F.lit(False)))
-    both = both.where(F.col("d") != LAST).groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n", "whole")).alias("u"))
-    enough = F.aggregate(F.col("u"), F.lit(0), lambda a, x: a + x["n"]) >= MIN_RUN
-    return materialize(both.where(enough).select("d", "t", F.col("u.pos").alias("pos"), F.col("u.n").alias("n"), F.col("u.whole").alias("whole")), "marks")
+    with hashed_joins(docs.sparkSession):
+        both = similar_paragraphs(texts, threshold).withColumn("whole", F.lit(True)).unionByName(repeated_passages(texts).withColumn("whole", F.lit(False)))
+        both = both.where(F.col("d") != LAST).groupBy("d", "t").agg(F.collect_list(F.struct("pos", "n", "whole")).alias("u"))
+        enough = F.aggregate(F.col("u"), F.lit(0), lambda a, x: a + x["n"]) >= MIN_RUN
+        return materialize(both.where(enough).select("d", "t", F.col("u.pos").alias("pos"), F.col("u.n").alias("n"), F.col("u.whole").alias("whole")), "marks")
 
 
 def dedup_paragraphs(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
