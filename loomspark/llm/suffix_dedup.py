@@ -305,8 +305,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int =
     t1, t2, whole_text, los, ends, every = free([*names, *new], "t1", "t2", "text", "lo", "end", "all")
     original = [F.col(f"`{c}`") for c in names]
     keyed = docs.select(*original, F.xxhash64(text).alias(t1), F.xxhash64(F.lit(7), text).alias(t2), text.alias(whole_text))
-    slim = materialize(keyed.select(t1, t2, F.octet_length(whole_text).alias("n")), "sizes")
-    copies = materialize(slim.where(F.col("n") >= length).groupBy(t1, t2).agg(F.count("*").alias("times")).where("times > 1").select(t1, t2), "copies")
+    long_enough = keyed.where(F.octet_length(whole_text) >= length).select(t1, t2)
+    copies = materialize(long_enough.groupBy(t1, t2).agg(F.count("*").alias("times")).where("times > 1").select(t1, t2), "copies")
     found = marks(keyed.select(F.col(t1).alias("t1"), F.col(t2).alias("t2"), F.col(whole_text).alias("text")), length, k, hot)
     spans = found.groupBy(F.col("t1").alias(t1), F.col("t2").alias(t2)).agg(F.collect_set(F.struct("lo", "end")).alias("s"))
     none = F.array().cast("array<long>")

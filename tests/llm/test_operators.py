@@ -88,6 +88,23 @@ def test_repeats_on_odd_rows(spark, odd):
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
+def test_unrepeated_texts_leave_no_tables(spark, monkeypatch):
+    """Nothing is written for texts that share no string, neither their sizes nor their hashes."""
+    rng = np.random.default_rng(1)
+    texts = [(i, "".join(rng.choice(list("abcdefgh"), 200))) for i in range(30)]
+    written = {}
+
+    def counted(df, name="step", real=suffix_dedup.materialize):
+        out = real(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counted)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), length=32, k=12)
+    check_repeats(got.collect(), [(i, t.encode()) for i, t in texts], 32)
+    assert written and not any(written.values()), written
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abc", max_size=25), max_size=6))
 def test_run_length_index(strings):
