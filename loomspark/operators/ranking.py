@@ -17,6 +17,8 @@ FEEDBACK_DOCS, FEEDBACK_TERMS, FEEDBACK_ALPHA, QUERY_REPEATS = 5, 8, 0.3, 10
 #: Weights of BM25, density and prior, with a query and without one.
 WEIGHTS, WEIGHTS_NO_QUERY = (1.5, 0.7, 1.0), (0.0, 1.5, 1.0)
 DIGITS = 12
+#: Rarities are summed as two whole numbers of 2**-FRACTION and 2**-(2 * FRACTION), so that no order of rows changes a sum.
+FRACTION = 30
 
 
 class Corpus:
@@ -51,8 +53,10 @@ def bm25(corpus: Corpus, terms: DataFrame) -> DataFrame:
     idf = F.ln((F.lit(float(corpus.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     norm = F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(max(corpus.avgdl, 1.0))
     hit = tf.join(small(df.join(terms, "t").select("t", (F.col("times") * idf).alias("w"))), "t")
-    score = hit.groupBy("pos").agg(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)).alias("s"))
-    return corpus.docs.select("pos").join(score, "pos", "left").select("pos", F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("score"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
+    # decimals: the few parts of a row add up to the same in any order
+    score = hit.groupBy("pos").agg(F.sum(part.cast("decimal(28,18)")).cast("double").alias("s"))
+    return corpus.docs.select("pos").join(score, "pos", "left").select("pos", T.round_binary(F.coalesce("s", F.lit(0.0)), DIGITS).alias("score"))
 
 
 def density(corpus: Corpus) -> DataFrame:
@@ -60,17 +64,20 @@ def density(corpus: Corpus) -> DataFrame:
 
     That is the mean rarity of the row's tokens. The most frequent terms, BROADCAST_ROWS at most, meet the tokens by
     broadcast, so no term has many rows in a shuffle; where there are more terms, the rest follow by a join of their
-    counts in each row."""
-    rarity = (F.ln(F.lit(float(corpus.n + 1)) / (F.col("df") + 1.0)) + 1.0).alias("w")
+    counts in each row. Sums are of whole numbers: rows of equal tokens have equal scores, in whatever order they come."""
+    w = (F.ln(F.lit(float(corpus.n + 1)) / (F.col("df") + 1.0)) + 1.0) * F.lit(float(1 << FRACTION))
+    rarity = [F.floor(w).alias("w"), F.floor((w - F.floor(w)) * F.lit(float(1 << FRACTION))).alias("v")]
+    both = [F.sum("w").alias("w"), F.sum("v").alias("v")]
     df = materialize(corpus.df, "df")
     often = df.orderBy(F.desc("df"), "t").limit(BROADCAST_ROWS)
     tokens = corpus._tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("t"))
-    parts = [tokens.join(F.broadcast(often.select("t", rarity)), "t").groupBy("pos", "dl").agg(F.sum("w").alias("w"))]
+    parts = [tokens.join(F.broadcast(often.select("t", *rarity)), "t").groupBy("pos", "dl").agg(*both)]
     if df.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         rare = tokens.join(F.broadcast(often.select("t")), "t", "left_anti").groupBy("pos", "dl", "t").agg(F.count("*").alias("tf"))
-        parts.append(rare.join(df.select("t", rarity), "t").select("pos", "dl", (F.col("tf") * F.col("w")).alias("w")))
-    s = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).groupBy("pos").agg((F.sum("w") / F.first("dl")).alias("s"))
-    return corpus.docs.select("pos").join(s, "pos", "left").select("pos", F.round(F.coalesce("s", F.lit(0.0)), DIGITS).alias("score"))
+        parts.append(rare.join(df.select("t", *rarity), "t").select("pos", "dl", (F.col("tf") * F.col("w")).alias("w"), (F.col("tf") * F.col("v")).alias("v")))
+    one = F.lit(2.0**-FRACTION)
+    s = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).groupBy("pos").agg(((F.sum("w") * one + F.sum("v") * one * one) / F.first("dl")).alias("s"))
+    return corpus.docs.select("pos").join(s, "pos", "left").select("pos", T.round_binary(F.coalesce("s", F.lit(0.0)), DIGITS).alias("score"))
 
 
 def feedback_terms(corpus: Corpus, terms: DataFrame, docs: int = FEEDBACK_DOCS, n: int = FEEDBACK_TERMS) -> DataFrame:
@@ -78,7 +85,7 @@ def feedback_terms(corpus: Corpus, terms: DataFrame, docs: int = FEEDBACK_DOCS,
     top = bm25(corpus, terms).where("score > 0").orderBy(F.desc("score"), "pos").limit(docs)
     share = top.withColumn("p", F.col("score") / F.sum("score").over(Window.partitionBy(F.lit(1))))  # at most `docs` rows
     rows = corpus._tokens.join(F.broadcast(share.select("pos", "p")), "pos").select("p", F.size("tokens").alias("dl"), F.explode("tokens").alias("t"))
-    weight = rows.groupBy("t").agg(F.round(F.sum(F.col("p") / F.col("dl")), DIGITS).alias("weight"))
+    weight = rows.groupBy("t").agg(T.round_binary(F.sum(F.col("p") / F.col("dl")), DIGITS).alias("weight"))
     return weight.join(F.broadcast(terms.select("t")), "t", "left_anti").orderBy(F.desc("weight"), "t").limit(n)
 
 
@@ -151,5 +158,5 @@ def rank(chunks: DataFrame, query: str | None = None, priors: DataFrame | None =
         if top is not None and top > 0 and weight > 0:
             lists.append((rank_by_score(scores), weight))
     fused = rrf(lists) if lists else chunks.select("pos", F.lit(0.0).alias("score"))
-    total = chunks.select("pos", "kind", "priority").join(fused, "pos", "left").select("pos", F.round(F.coalesce("score", F.lit(0.0)) + structural_bump(F.col("kind"), F.col("priority")), DIGITS).alias("score"))
+    total = chunks.select("pos", "kind", "priority").join(fused, "pos", "left").select("pos", T.round_binary(F.coalesce("score", F.lit(0.0)) + structural_bump(F.col("kind"), F.col("priority")), DIGITS).alias("score"))
     return chunks.join(rank_by_score(total), "pos")

@@ -215,18 +215,18 @@ def line_sketch(spark, sf):
 @query
 def bm25(spark, sf):
     c = chunks(spark, sf)
-    return ranking.bm25(ranking.Corpus(c), ranking.query_terms(spark, QUERY)).select("pos", F.round("score", 6).alias("score"))
+    return ranking.bm25(ranking.Corpus(c), ranking.query_terms(spark, QUERY)).select("pos", T.round_binary(F.col("score"), 6).alias("score"))
 
 
 @query
 def density(spark, sf):
-    return ranking.density(ranking.Corpus(chunks(spark, sf))).select("pos", F.round("score", 6).alias("score"))
+    return ranking.density(ranking.Corpus(chunks(spark, sf))).select("pos", T.round_binary(F.col("score"), 6).alias("score"))
 
 
 @query
 def rm3_terms(spark, sf):
     corpus = ranking.Corpus(chunks(spark, sf))
-    return ranking.feedback_terms(corpus, ranking.query_terms(spark, QUERY)).select("t", F.round("weight", 6).alias("weight"))
+    return ranking.feedback_terms(corpus, ranking.query_terms(spark, QUERY)).select("t", T.round_binary(F.col("weight"), 6).alias("weight"))
 
 
 @query
@@ -245,13 +245,13 @@ def rrf_rank(spark, sf):
     """Fused ranks of BM25 (weight 1.5) and density (0.7)."""
     corpus = ranking.Corpus(chunks(spark, sf))
     lists = [(ranking.rank_by_score(ranking.bm25(corpus, ranking.query_terms(spark, QUERY))), 1.5), (ranking.rank_by_score(ranking.density(corpus)), 0.7)]
-    return ranking.rrf(lists).select("pos", F.round("score", 9).alias("score"))
+    return ranking.rrf(lists).select("pos", T.round_binary(F.col("score"), 9).alias("score"))
 
 
 @query
 def rank_final(spark, sf):
     got = ranking.rank(chunks(spark, sf), QUERY)
-    return got.select("pos", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+    return got.select("pos", F.col("rank").cast("long").alias("rank"), T.round_binary(F.col("score"), 9).alias("score"))
 
 
 @query
@@ -260,7 +260,7 @@ def rank_feedback(spark, sf):
     c = chunks(spark, sf)
     prior = c.where("pos % 3 = 0").select("id", (F.col("pos") % 10 / 10).alias("prior"))
     got = ranking.rank(c, QUERY, prior, feedback=True)
-    return got.select("pos", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
+    return got.select("pos", F.col("rank").cast("long").alias("rank"), T.round_binary(F.col("score"), 9).alias("score"))
 
 
 @query

@@ -1,10 +1,13 @@
 import itertools
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from loomspark.functions import text as T
 from loomspark.model import CHUNK, Config
 from loomspark.operators import budget, compress, dedup, kernels, pipeline, ranking
 
@@ -88,6 +91,25 @@ def test_ranking(spark):
     assert terms["token"] == 10 and terms["stream"] == 4
 
 
+def test_rounds_halves_as_sql_does(spark):
+    values = [round(k * 1e-9 + 5e-10, 12) for k in range(1, 20000, 7)]
+    want = duckdb.connect().execute(f"SELECT round(unnest({values}::DOUBLE[]), 9)").fetchall()
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x double").orderBy("i").select(T.round_binary(F.col("x"), 9)).collect()
+    assert [r[0] for r in got] == [r[0] for r in want]
+
+
+def test_equal_tokens_score_equally_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "DIGITS", 15)  # so that a difference in the last bit shows
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(300):
+        own = list(rng.choice(words, 150))
+        texts += [" ".join(own), " ".join(rng.permutation(own))]
+    got = [r.score for r in ranking.density(ranking.Corpus(chunks(spark, texts))).orderBy("pos").collect()]
+    assert got[::2] == got[1::2]
+
+
 def test_fusion_and_priors(spark):
     pair = chunks(spark, ["alpha beta", "gamma delta"])
     prior = spark.createDataFrame([("c1", 1.0)], "id string, prior double")
