@@ -1,4 +1,5 @@
 import collections
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -78,6 +79,17 @@ def test_betweenness_both_ways(spark, monkeypatch):
     assert got(betweenness.betweenness(nodes, edges)) == pytest.approx(arrays)
 
 
+def test_local_moves_hold_few_bytes_a_link():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 2000, 200_000), rng.integers(2000, 30_000, 200_000)
+    a, b = np.concatenate([a, b]) + 10**9, np.concatenate([b, a]) + 10**9
+    tracemalloc.start()
+    found = community.local_moves(a, b, np.full(len(a), 0.7), 140_000.0, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(np.unique(a)) and peak < 70 * len(a)
+
+
 def test_communities(spark):
     nodes, edges = graph(spark, 7, [(1, 2), (2, 3), (3, 1), (4, 5), (5, 6), (6, 4), (3, 4)])
     c = got(community.louvain(nodes, edges))
