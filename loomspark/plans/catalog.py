@@ -23,6 +23,7 @@ from loomspark.streaming import watch
 
 QUERY = oracles.QUERY
 ROUNDS = oracles.ROUNDS
+FOLDER_TASKS = 96
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -555,7 +556,10 @@ def path_list(spark, sf):
 def tree_scan(spark, sf):
     """A file for each supplier, written, and read as a tree with ignore rules."""
     root = _folder(spark, "tree")
-    table(spark, sf, "supplier").select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("dir")).write.partitionBy("dir").text(root)
+    rows = table(spark, sf, "supplier").select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("dir"))
+    # a folder a row: several tasks make and move them, each folder in one; AQE would go by their few bytes
+    many = F.pmod(F.col("dir"), F.lit(FOLDER_TASKS)).cast("int")
+    rows.repartition(FOLDER_TASKS, many).write.partitionBy("dir").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(root)
     got = files.scan(spark, root, ["# note", "dir=1*/", "!dir=11/", "_SUCCESS", "*.crc"], code_only=False)
     return got.select(F.regexp_extract("path", "dir=([0-9]+)/", 1).cast("long").alias("key"), "language", F.md5("content").alias("digest"))
 

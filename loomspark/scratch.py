@@ -16,7 +16,7 @@ BROADCAST_ROWS = 200_000
 #: Bytes of an Arrow batch where the session leaves Spark's own 64 MB: executor and worker hold several batches and copies.
 ARROW_BYTES, ARROW_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bytes of a partition where the session leaves Spark's own: ids and weights are ten times as large in a task as compressed.
-PARTITION_BYTES = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": ("64MB", "67108864b", "16m"), "spark.sql.files.maxPartitionBytes": ("128MB", "134217728b", "32m")}
+PARTITION_BYTES = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": ("64MB", "67108864b", "16m"), "spark.sql.files.maxPartitionBytes": ("128MB", "134217728b", "32m"), "spark.sql.files.openCostInBytes": ("4MB", "4194304b", "256k")}
 
 
 def ready(spark: SparkSession) -> SparkSession:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
@@ -21,6 +21,7 @@ TRIED = {"typescript": [".ts", ".tsx", ".js", ".jsx"], "javascript": [".js", ".j
 INDEXED = {"typescript", "javascript"}
 #: Editors' names of languages that differ from ours.
 EDITOR_LANGUAGES = {"typescriptreact": "typescript", "javascriptreact": "javascript", "jsonc": "json"}
+LISTERS_A_CORE = 4
 CODE_LANGUAGES = ("rust", "typescript", "javascript", "python")
 
 
@@ -52,12 +53,23 @@ def not_ignored(path: Column, rules: list[str]) -> Column:
     return verdict
 
 
+def _listed(spark: SparkSession, reader: DataFrameReader, root: str) -> DataFrame:
+    """reader's files under root. Spark lists in a task a folder, up to 10,000 tasks; here folders are dealt to a few tasks a core."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(was), LISTERS_A_CORE * spark.sparkContext.defaultParallelism)))
+    try:
+        return reader.load(root)
+    finally:
+        spark.conf.set(key, was)
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] = (), code_only: bool = True, paths: DataFrame | None = None) -> DataFrame:
     """(path, language, content) of the files under root, hidden ones too; paths are relative to it.
 
     Ignored files, and with code_only those of no code language, are dropped by name before they are read. paths
     (path) restricts the scan. Bytes that are no UTF-8 become U+FFFD."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", False).load(root)
+    files = _listed(spark, spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", False), root)
     base = re.sub(r"^(?:file:)?/*", "", root.rstrip("/"))
     rel = F.regexp_replace("path", r"^[a-z]+:/*" + re.escape(base) + "/", "")
     rows = files.select(rel.alias("path"), "content").where(not_ignored(F.col("path"), [".git/", *ignore])).withColumn("language", T.language_of_path(F.col("path")))

@@ -81,3 +81,19 @@ def test_server_and_command_line(spark, tmp_path):
     out = io.StringIO()
     cli.run(spark, ["--root", str(tmp_path), "optimize", "--max-tokens", "100"], io.StringIO(json.dumps({"chunks": [{"id": "a", "content": "hello world"}], "query": "hello"})), out)
     assert json.loads(out.getvalue())["chunks"][0]["id"] == "a"
+
+
+def test_many_folders_are_listed_by_a_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "a.py").write_text(f"x = {i}\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        tree = files.scan(spark, str(tmp_path))
+        stages = [k for j in sc.statusTracker().getJobIdsForGroup("listing") for k in sc.statusTracker().getJobInfo(j).stageIds]
+        tasks = [sc.statusTracker().getStageInfo(k).numTasks for k in stages]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) <= files.LISTERS_A_CORE * sc.defaultParallelism
+    assert tree.count() == 60
