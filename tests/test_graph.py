@@ -79,6 +79,24 @@ def test_betweenness_both_ways(spark, monkeypatch):
     assert got(betweenness.betweenness(nodes, edges)) == pytest.approx(arrays)
 
 
+def test_betweenness_writes_no_table_a_ring(spark, monkeypatch):
+    nodes, edges = graph(spark, 30, [(i, i + 1) for i in range(1, 30)])
+    arrays = got(betweenness.betweenness(nodes, edges, 20))
+    written = []
+    monkeypatch.setattr(betweenness, "local_arrays", lambda df: None)
+    monkeypatch.setattr(betweenness, "materialize", lambda df, name="step", f=betweenness.materialize: written.append(name) or f(df, name))
+    assert got(betweenness.betweenness(nodes, edges, 20)) == pytest.approx(arrays)
+    assert len(written) <= 6
+
+
+def test_steiner_links_the_graph_once(spark, monkeypatch):
+    nodes, edges = graph(spark, 12, [(i, i + 1) for i in range(1, 12)])
+    written = []
+    monkeypatch.setattr(traverse, "materialize", lambda df, name="step", f=traverse.materialize: written.append(name) or f(df, name))
+    assert traverse.steiner(nodes, edges, [1, 12])[0] == list(range(1, 13))
+    assert written.count("pairs") == 1
+
+
 def test_local_moves_hold_few_bytes_a_link():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2000, 200_000), rng.integers(2000, 30_000, 200_000)
