@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.model import DEPENDENCY_KINDS
-from loomspark.scratch import is_empty, materialize
+from loomspark.scratch import is_empty, materialize, small
 
 
 def levels(edges: DataFrame, seeds: DataFrame, forward: bool = True, kinds: tuple[str, ...] | None = DEPENDENCY_KINDS, depth: int | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def levels(edges: DataFrame, seeds: DataFrame, forward: bool = True, kinds: tupl
     seen, d = frontier, 0
     while depth is None or d < depth:
         d += 1
-        step = e.join(frontier.select(F.col("id").alias("_from")), "_from").select(F.col("_to").alias("id")).distinct()
+        step = e.join(small(frontier.select(F.col("id").alias("_from"))), "_from").select(F.col("_to").alias("id")).distinct()
         frontier = materialize(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         if is_empty(frontier):
             break
@@ -70,7 +70,7 @@ def shortest_paths(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     seen, d = frontier, 0
     while True:
         d += 1
-        step = pairs.join(frontier.select("source", F.col("id").alias("a")), "a").groupBy("source", F.col("b").alias("id")).agg(F.min("a").alias("pred"))
+        step = pairs.join(small(frontier.select("source", F.col("id").alias("a"))), "a").groupBy("source", F.col("b").alias("id")).agg(F.min("a").alias("pred"))
         frontier = materialize(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(d).alias("dist"), "pred"), "tree")
         if is_empty(frontier):
             return seen
@@ -90,7 +90,7 @@ def steiner(nodes: DataFrame, edges: DataFrame, terminals: list[int]) -> tuple[l
     if len(terms) < 2:
         return sorted(terms), []
     sources = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "source long")
-    tree = materialize(shortest_paths(undirected(edges), sources), "trees")
+    tree = materialize(shortest_paths(materialize(undirected(edges), "pairs"), sources), "trees")
     ends = sources.withColumnRenamed("source", "id")
     dist = {(r.source, r.id): r.dist for r in tree.join(F.broadcast(ends), "id", "left_semi").collect()}
     linked, links = [0], []
