@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from loomspark.functions import chunking, code
 from loomspark.functions import text as T
 from loomspark.scratch import ready
 
+#: Rows of a batch of symbols.
+ROWS = 4096
 SPANS = S.ArrayType(S.StructType([S.StructField("start", S.IntegerType()), S.StructField("end", S.IntegerType())]))
 SYMBOL = "kind string, name string, qualified string, start_line int, end_line int, signature string, body_bytes long, parent string, calls array<string>, bases array<string>"
 
@@ -64,7 +67,8 @@ def symbols_of(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in SYMBOL.split(", ")]
         for b in batches:
-            rows = [{**row, "path": p, "language": lang} for p, lang, c in zip(b["path"], b["language"], b["content"]) for row in code.symbols(c or "", lang, p)]
-            yield pd.DataFrame(rows, columns=["path", "language", *names])
+            rows = ({**row, "path": p, "language": lang} for p, lang, c in zip(b["path"], b["language"], b["content"]) for row in code.each_symbol(c or "", lang, p))
+            while part := list(itertools.islice(rows, ROWS)):
+                yield pd.DataFrame(part, columns=["path", "language", *names])
 
     return files.select("path", "language", "content").mapInPandas(run, f"path string, language string, {SYMBOL}")

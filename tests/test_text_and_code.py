@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -93,3 +95,56 @@ def test_chunks_cover_and_stay_local():
     a, b = chunking.cut(data), chunking.cut(data[:30_000] + b"inserted bytes..." + data[30_000:])
     assert a[0][0] == 0 and a[-1][1] == len(data) and all(x[1] == y[0] for x, y in zip(a, a[1:]))
     assert sum(x == y for x, y in zip(a, b)) >= 2
+
+
+ODD = """import os
+from pkg import a  # é
+@deco(1)
+# between
+@other
+class C(Base, metaclass=M):
+    QQQdoc
+def no(): pass
+QQQ
+    def m(self):
+        import late
+        return f(g(1))  # x
+if os:
+    print("a")
+else:
+    print('b # no')
+try:
+    x = (1,
+2)
+except E:
+    pass
+finally:
+    print(QQQ
+def neither(): print(1)
+QQQ)
+async def h%d(x): return h(x) ; print(2)
+for é in k(): y = \\
+1
+else: pass
+""".replace("QQQ", "'''")
+
+
+def test_python_in_pieces_reads_as_a_whole(monkeypatch):
+    s = "".join(ODD.replace("%d", str(i)) for i in range(30))
+    whole = code.strip_exact(s, "python"), code.skeleton(s, "python"), code.symbols(s, "python", "a.py")
+    monkeypatch.setattr(code, "PIECE", 40, raising=False)
+    code._cuts.cache_clear()
+    assert len(code._cuts(s)) > 100
+    assert (code.strip_exact(s, "python"), code.skeleton(s, "python"), code.symbols(s, "python", "a.py")) == whole
+    for bad in ("x = (\n", "def f(:\n  pass\n", "  y = 1\n"):
+        assert code.strip_exact(s + bad, "python") is None and code.items(s + bad, "python") is None
+
+
+def test_long_python_takes_little_memory():
+    s = "".join(f"def f{i}(x):\n    print('# x')\n    return f{i + 1}(x)  # call\n\n\n" for i in range(12_000))
+    for read in (code.strip_exact, code.skeleton):
+        tracemalloc.start()
+        assert read(s, "python")
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60 * len(s)
