@@ -6,7 +6,7 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -21,6 +21,8 @@ SYMBOL = "kind string, name string, qualified string, start_line int, end_line i
 
 
 def _pandas(function, kind) -> object:
+    if spark := SparkSession.getActiveSession():
+        ready(spark)  # a function keeps the environment of the moment it is made
     return F.pandas_udf(function, kind)
 
 
