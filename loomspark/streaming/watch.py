@@ -32,7 +32,11 @@ def debounced(events: DataFrame, gap: str = GAP, late: str = "1 second", keys: l
 
     All events keep a burst open, also those that don't count; bursts without a watched path are dropped. Works on
     streams (append mode: a burst leaves once the watermark passes it) and on tables."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events
+    if events.isStreaming:
+        # a task's own bursts are merged before all of one key meet in a task: bursts travel, not events
+        events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+        rows = events.withWatermark("ts", late)
     w = F.session_window("ts", gap)
     paths = F.collect_set(F.when(watched(F.col("path")), F.col("path")))
     # Spark wants a key beside a stream's session window; this one is the same for all rows, but no literal

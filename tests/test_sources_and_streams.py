@@ -97,3 +97,13 @@ def test_many_folders_are_listed_by_a_few_tasks(spark, tmp_path):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert max(tasks) <= files.LISTERS_A_CORE * sc.defaultParallelism
     assert tree.count() == 60
+
+
+def test_bursts_are_merged_before_they_meet(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "e.json").write_text("".join(json.dumps({"ts": f"2024-01-01T00:00:{i:02d}Z", "path": f"p{i % 3}", "op": "modify"}) + "\n" for i in range(40)))
+    run = watch.debounced(watch.read_events(spark, str(tmp_path / "in")), "10 seconds").writeStream.format("memory").queryName("bursts").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    plan = run._jsq.explainInternal(False)
+    tail = plan[plan.rindex("hashpartitioning"):]  # what a task does before the last exchange by key
+    assert "MergingSessions" in tail
