@@ -23,6 +23,8 @@ MIN_UNIQUE_TOKENS, MAX_DISTANCE = 4, 3
 PERMUTATIONS, BANDS = 128, 16
 PRIME = 4294967291
 SHINGLE_LINES = 3
+#: Items of the lists that Python works on at once.
+SLICE_ITEMS = 1 << 17
 LSH_FROM = 64
 SIMILARITY = float(np.float32(0.92))
 
@@ -61,8 +63,20 @@ def _encoded(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return flat.dictionary, np.asarray(flat.indices, np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _simhash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in slices of about SLICE_ITEMS items of a list column, one row at least: items become objects
+    of many times their size."""
     for b in batches:
+        ends = np.cumsum(np.array(pc.list_value_length(b.column(column)).fill_null(0), np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_ITEMS, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _simhash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _slices(batches, "tokens"):
         items, code, off = _encoded(b.column("tokens"))
         high, low = _digest_words(items)
         word = (low << 32 | high).astype(np.uint64)  # the first digest word has bits 0 to 31
@@ -118,16 +132,19 @@ def minhash(chunks: DataFrame, width: int = SHINGLE_LINES, permutations: int = P
     """(pos, sig): for each i the least (h1 + i * h2) mod PRIME over the line shingles; PRIME where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps = np.arange(permutations)
-        for b in batches:
+        prime = np.uint64(PRIME)
+        for b in _slices(batches, "shingles"):
             items, code, off = _encoded(b.column("shingles"))
-            a, c = _digest_words(items)
-            c = np.maximum(c, 1)
+            a, c = (x.astype(np.uint64) for x in _digest_words(items))
+            now, step = (a % prime)[code], (np.maximum(c, 1) % prime)[code]
+            less = np.empty_like(now)
             sig = np.full((b.num_rows, permutations), PRIME, np.int64)
-            for i in np.flatnonzero(np.diff(off)).tolist():
-                for lo in range(off[i], off[i + 1], 4096):  # bounds the table of a very long text
-                    own = code[lo : min(off[i + 1], lo + 4096)]
-                    np.minimum(sig[i], ((a[own, None] + steps * c[own, None]) % PRIME).min(0), out=sig[i])
+            has = np.flatnonzero(np.diff(off))
+            for i in range(permutations if len(has) else 0):
+                sig[has, i] = np.minimum.reduceat(now, off[has])
+                now += step
+                np.subtract(now, prime, out=less)  # wraps round to a large number where now is the remainder already
+                np.minimum(now, less, out=now)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * permutations, pa.int32()), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("pos"), lists], ["pos", "sig"])
 

@@ -6,7 +6,7 @@ import pytest
 
 from loomspark.model import NODE
 from loomspark.operators.graph import betweenness, build, community, priors, store, traverse, walk
-from loomspark.scratch import global_rank
+from loomspark.scratch import global_rank, ready
 
 
 def graph(spark, n, links, kind="calls"):
@@ -165,3 +165,8 @@ def test_priors_and_tags(spark):
     assert t["z"] == 9 and t["y"] is None and t["x"] is not None
     assert [r.path for r in priors.impact(g, ["b.py"], 2).collect()] == ["a.py", "b.py"]
     assert np.isin(["a.py"], [r.path for r in priors.impact(g, ["a.py"], strategy="rwr").collect()]).all()
+
+
+def test_partitions_are_kept_small(spark):
+    ready(spark)
+    assert [spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")] == ["16m", "32m"]

@@ -1,7 +1,9 @@
+import hashlib
 import itertools
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,6 +27,23 @@ def test_exact_dedup_ignores_spacing(spark):
     assert ids(dedup.exact_dedup(chunks(spark, ["a  b", "a b ", "c"]))) == [0, 2]
 
 
+def test_items_are_worked_on_in_slices(monkeypatch):
+    lists = [[f"w{i % 50}x{j}" for j in range(i % 9)] for i in range(200)] + [None]
+    b = pa.RecordBatch.from_pydict({"pos": list(range(201)), "tokens": pa.array(lists, pa.list_(pa.string()))})
+    whole = pa.Table.from_batches(dedup._simhash_rows(iter([b])))
+    monkeypatch.setattr(dedup, "SLICE_ITEMS", 20)
+    parts = list(dedup._simhash_rows(iter([b])))
+    assert len(parts) > 20 and pa.Table.from_batches(parts).to_pydict() == whole.to_pydict()
+
+
+def test_signature_is_the_least_of_each_permutation(spark):
+    texts = ["\n".join(f"l{(i * 7 + j) % 31}" for j in range(i)) for i in range(12)]
+    got = {r.pos: r.sig for r in dedup.minhash(chunks(spark, texts), 1).collect()}
+    for i, text in enumerate(texts):
+        words = [np.frombuffer(hashlib.md5(x.encode()).digest()[:8], ">u4").astype(int) for x in text.split("\n") if x]
+        assert got[i] == [min([(int(a) + k * max(int(c), 1)) % dedup.PRIME for a, c in words], default=dedup.PRIME) for k in range(dedup.PERMUTATIONS)]
+
+
 def test_first_keep_is_not_components(spark):
     pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 4), (4, 5), (5, 6)], "a long, b long")
     assert ids(dedup.first_keep(pairs)) == [1, 4, 6]
